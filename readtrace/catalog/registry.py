@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from readtrace.catalog import chain
+from readtrace.catalog import chain, cohort
 
-GROUPS = (chain,)
+GROUPS = (chain, cohort)
 
 
 def queries():
