@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from readtrace.catalog import chain, cohort
+from readtrace.catalog import chain, cohort, eyes
 
-GROUPS = (chain, cohort)
+GROUPS = (chain, cohort, eyes)
 
 
 def queries():

@@ -174,16 +174,16 @@ class OrderedFrame:
     def lag(self, names: dict[str, str]) -> OrderedFrame:
         """{new column: column} taken from the previous row of the key."""
         row = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
-        df = self._df.withColumn("_prev", F.lag(row).over(self._window()))
+        df = self._df.withColumn("_lagged", F.lag(row).over(self._window()))
         if self.split:
             carry = self._carry(
                 {"_last": F.max_by(row, self._order_key())},
                 {"_carried": F.lag("_last").over(self._chunk_window())})
             df = (df.join(carry, self.keys + [CHUNK], "left")
-                  .withColumn("_prev", F.coalesce("_prev", "_carried")).drop("_carried"))
+                  .withColumn("_lagged", F.coalesce("_lagged", "_carried")).drop("_carried"))
         for n in names:
-            df = df.withColumn(n, F.col("_prev")[n])
-        return self._on(df.drop("_prev"))
+            df = df.withColumn(n, F.col("_lagged")[n])
+        return self._on(df.drop("_lagged"))
 
     def running_sum(self, name: str, value: Column) -> OrderedFrame:
         """Sum of ``value`` from the first row of the key to this row."""

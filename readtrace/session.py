@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,12 +26,28 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the library's runtime settings to an existing session."""
+    """Apply the library's runtime settings and hand its code to the workers."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Once per application: Python workers import this package by name."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="readtrace-code-"))
+    archive = shutil.make_archive(str(folder / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 

@@ -7,7 +7,7 @@ of one word.  A repeated line number is a duplicate record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readtrace.operators.ordered import OrderedFrame
@@ -123,11 +123,38 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaze-like samples of a user in time order, from the event table.
 
-    t in hours, x the value, y and the word from the number in ``props``.
+    Events are hours apart; the clock is scaled so that they lie about a tenth
+    of a second apart, as gaze samples do.  x is the value, y and the word come
+    from the number in ``props``.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    us = micros("ts")
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), "event_id", us.alias("ts_us"),
-        (us / F.lit(3.6e9)).alias("t"), F.col("value").alias("x"), k.cast("double").alias("y"),
-        F.floor(k / 25).cast("int").alias("word_index"), "event_type")
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("sample_id"),
+        F.floor(micros("ts") / 360).cast("long").alias("ts_ns"),
+        F.col("value").alias("x"), k.cast("double").alias("y"), k.alias("k"),
+        F.floor(k / 25).cast("int").alias("word_index"), "event_type",
+        (F.col("value") / 250).alias("ear"), (F.col("value") / 10).alias("iris_px"))
+
+
+def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Face landmarks per frame, from the embedding vectors read as 32 points."""
+    def number(i: Column) -> Column:
+        return F.get("embedding", i.cast("int")).cast("double")
+
+    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(
+        number(2 * i).alias("x"), number(2 * i + 1).alias("y")))
+    point = F.element_at(F.array(F.lit("left"), F.lit("center"), F.lit("right")),
+                         (F.col("vec_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("label") / 3).cast("long").alias("session_id"), F.col("vec_id").alias("frame_id"),
+        "label", points.alias("landmarks"), point.alias("point"))
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word rectangles per layout: the nations of a region, side by side, overlapping."""
+    nations = table(spark, sf_dir, "nation")
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    return nations.select(F.col("n_regionkey").cast("long").alias("sentence_id"), place.alias("word_index")).select(
+        "sentence_id", "word_index",
+        (F.col("word_index") * 30.0).alias("x1"), (F.col("sentence_id") * 10.0).alias("y1"),
+        (F.col("word_index") * 30.0 + 40).alias("x2"), (F.col("sentence_id") * 10.0 + 50).alias("y2"))
