@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from readtrace.catalog import chain, cohort, eyes
+from readtrace.catalog import chain, cohort, eyes, words
 
-GROUPS = (chain, cohort, eyes)
+GROUPS = (chain, cohort, eyes, words)
 
 
 def queries():

@@ -198,6 +198,17 @@ class OrderedFrame:
                   .drop("_carried"))
         return self._on(df)
 
+    def running_min(self, name: str, value: Column) -> OrderedFrame:
+        """Smallest ``value`` from the first row of the key to this row."""
+        frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        df = self._df.withColumn(name, F.min(value).over(frame))
+        if self.split:
+            before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
+            carry = self._carry({"_min": F.min(value)}, {"_carried": F.min("_min").over(before)})
+            df = (df.join(carry, self.keys + [CHUNK], "left")
+                  .withColumn(name, F.least(name, "_carried")).drop("_carried"))
+        return self._on(df)
+
     def row_number(self, name: str) -> OrderedFrame:
         """1-based ordinal inside the key."""
         return self.running_sum(name, F.lit(1).cast("long"))

@@ -20,7 +20,7 @@ WORD = ["sentence_id", "word_index"]
 
 def split_words(text: Column) -> Column:
     """Whitespace tokens of a sentence."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def skeleton(sentences: DataFrame) -> DataFrame:
