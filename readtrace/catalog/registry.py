@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from readtrace.catalog import chain, cohort, eyes, words
+from readtrace.catalog import chain, cohort, eyes, storage, words
 
-GROUPS = (chain, cohort, eyes, words)
+GROUPS = (chain, cohort, eyes, words, storage)
 
 
 def queries():

@@ -40,7 +40,7 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence by sentence, a turn of a conversation as the typed copy of the turn before."""
     turns = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.filter(F.transform(F.split("text", r"[.\n]+"), F.trim),
+        "conv_id", "turn", F.filter(F.transform(F.split("text", r"[.\n]+"), lambda s: F.trim(s)),
                                     lambda s: s != "").alias("parts"))
     pairs = OrderedFrame(turns, ["conv_id"], ["turn"]).lag({"before": "parts"}).df
     both = F.arrays_zip(F.col("before").alias("reference"), F.col("parts").alias("typed"))
