@@ -1,8 +1,8 @@
 """All registered queries by name."""
 
-from readtrace.catalog import chain, cohort, eyes, storage, words
+from readtrace.catalog import chain, cohort, eyes, storage, streams, words
 
-GROUPS = (chain, cohort, eyes, words, storage)
+GROUPS = (chain, cohort, eyes, words, storage, streams)
 
 
 def queries():
