@@ -41,44 +41,42 @@ def _as_stream(spark, df, purpose):
 
 
 _LATE = 45
+_FAR = "2200-01-01"
 
 
-def _slot_input(spark, d):
-    """Opens, records and closes on a common clock, then a row that moves it on.
+def _events(spark, d):
+    """Opens, records and closes on a common clock.
 
     A sentence opens on its order day; records follow a second later, those of
     large quantities ten seconds later, after the grace of the close at two
     seconds.  Sentences of urgent orders never close and time out.
     """
-    read = warehouse.sentences(spark, d)
+    read = warehouse.sentences(spark, d).drop("line_numbers", "participant_id")
     orders = warehouse.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("sentence_id"), F.col("o_orderdate").cast("timestamp").alias("_day"),
+        F.col("o_orderkey").alias("sentence_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"),
         "o_orderpriority")
-    timed = read.join(orders, "sentence_id")
-    second = F.expr("INTERVAL 1 SECOND")
-    opens = timed.withColumn("event_time", F.col("_day"))
-    closes = timed.filter(F.col("o_orderpriority") != "1-URGENT").withColumn("event_time", F.col("_day") + 2 * second)
-    slow = F.col("seq.l_quantity") > _LATE
-    rec = warehouse.records(spark, d, read).join(
-        timed.select("sentence_id", "sentence_index", "_day"), "sentence_id").withColumn(
-        "event_time", F.col("_day") + F.when(slow, 10 * second).otherwise(second)).withColumn(
-        # Arrival as fixed-width text, which sorts like the columns it is made of.
-        "seq", F.concat_ws("|", F.date_format("seq.l_shipdate", "yyyyMMdd"), F.format_string(
-            "%02d|%012d|%012d|%09.2f|%012.2f|%.2f|%.2f", F.col("seq.l_linenumber"), F.col("seq.l_partkey"),
-            F.col("seq.l_suppkey"), F.col("seq.l_quantity"), F.col("seq.l_extendedprice"),
-            F.col("seq.l_discount"), F.col("seq.l_tax")), F.col("seq.l_returnflag"), F.col("seq.l_linestatus")))
-    return slots.slot_rows(opens, rec, closes)
+    opens = read.join(orders, "sentence_id")
+    closes = opens.filter(F.col("o_orderpriority") != "1-URGENT").withColumn(
+        "closed_at", F.col("started_at") + slots.seconds(2))
+    wait = F.when(F.col("seq.l_quantity") > _LATE, 10.0).otherwise(1.0)
+    said = warehouse.records(spark, d).drop("session_id").join(
+        opens.select("session_id", "sentence_id", "sentence_index", "started_at"), "sentence_id").withColumn(
+        "recorded_at", F.col("started_at") + F.make_dt_interval(secs=wait))
+    return opens, said, closes
+
+
+def _with_end(spark, rows, purpose):
+    """Rows as a stream, ending with one far ahead that moves the watermark past everything."""
+    path = scratch_dir(spark, purpose)
+    rows.write.parquet(path)
+    last = rows.limit(1).withColumn("started_at", F.lit(_FAR).cast("timestamp")).withColumn(
+        "sentence_id", F.lit(-1).cast("long"))
+    last.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def _slot_stream(spark, d):
-    rows = _slot_input(spark, d)
-    path = scratch_dir(spark, "slot_rows")
-    rows.write.parquet(path)
-    # One row far ahead moves the watermark past every deadline.
-    last = rows.limit(1).withColumn("event_time", F.lit("2200-01-01").cast("timestamp")).withColumn(
-        "sentence_id", F.lit(-1).cast("long")).withColumn("rank", F.lit(1))
-    last.write.mode("append").parquet(path)
-    return slots.slot_stream(spark.readStream.schema(rows.schema).parquet(path))
+    return slots.slot_stream(_with_end(spark, slots.slot_rows(*_events(spark, d)), "slot_rows"))
 
 
 # The same rule in SQL: records after the close grace are gone, unless the sentence never closes.
@@ -88,7 +86,9 @@ _KEEP = "FROM lineitem l JOIN words w ON w.sentence_id = l.l_orderkey AND w.l_li
 
 def _on_time(statement):
     assert _KEEP in statement
-    return statement.replace(_KEEP, f"{_KEEP} WHERE {_ON_TIME}")
+    # Large quantities also arrive later than the rest of their sentence.
+    return statement.replace(_KEEP, f"{_KEEP} WHERE {_ON_TIME}").replace(
+        "ORDER BY l_shipdate,", "ORDER BY l_quantity > 45, l_shipdate,")
 
 
 _STSLOT = f"""WITH {_on_time(sql.SLOTS)} SELECT session_id, sentence_id, sentence_index, word_index, expected_word, status, data_quality,
@@ -109,9 +109,12 @@ def st_slot_state(spark, d):
 {_KEEP} WHERE NOT {_ON_TIME} GROUP BY ALL""")
 def st_late_drop(spark, d):
     """Records after the grace, counted instead of silently lost."""
-    late = _finish(spark, _slot_stream(spark, d), "late").filter(
-        (F.col("outcome") == "late") & (F.col("sentence_id") >= 0))
-    return rounded(late.groupBy("session_id", "sentence_id", "word_index").agg(F.count(F.lit(1)).alias("n_late")))
+    _, said, closes = _events(spark, d)
+    late = slots.late_records(
+        _with_end(spark, said.select("session_id", "sentence_id", "word_index", "started_at", "recorded_at"), "said"),
+        _with_end(spark, closes.select("sentence_id", "started_at", "closed_at"), "closes"))
+    got = _finish(spark, late, "late").filter(F.col("sentence_id") >= 0)
+    return rounded(got.groupBy("session_id", "sentence_id", "word_index").agg(F.count(F.lit(1)).alias("n_late")))
 
 
 def _urgent(statement):
@@ -135,27 +138,14 @@ def st_session_metrics(spark, d):
     return rounded(score_sessions(session_features(spark.read.parquet(out))).select("session_id", "risk_score", "risk_band"))
 
 
-_DONE = f"""WITH {sql.REC}, c AS (SELECT session_id, sentence_id, word_index, bool_or(has_gaze) AND bool_or(has_speech OR has_typing) AS ok FROM rec GROUP BY ALL)
-SELECT session_id, sentence_id, count(*) AS n_words FROM c GROUP BY ALL HAVING bool_and(ok)"""
-
-
-def _counted(spark, d):
-    read = warehouse.sentences(spark, d)
-    n = read.select("sentence_id", F.size("words").alias("n_words"))
-    return warehouse.records(spark, d, read).drop("seq").join(n, "sentence_id")
+_DONE = f"""WITH {_on_time(sql.SLOTS)}, c AS (SELECT session_id, sentence_id, count(*) AS n_words,
+bool_and(has_gaze AND (has_speech OR has_typing)) AS ok FROM slots GROUP BY ALL) SELECT session_id, sentence_id, n_words FROM c WHERE ok"""
 
 
 @query("st_completion", _DONE)
 def st_completion(spark, d):
-    stream = _as_stream(spark, _counted(spark, d), "records")
-    return rounded(_finish(spark, slots.completions(stream), "completions"))
-
-
-@query("st_completion_batch", _DONE)
-def st_completion_batch(spark, d):
-    return rounded(slots.completed_sentences(_counted(spark, d)))
-
-
+    """Two streaming aggregates in a row: words, then sentences."""
+    return rounded(_finish(spark, slots.completions(_slot_stream(spark, d)), "completions"))
 
 
 @query("st_first_wins", f"""WITH {sql.SENT} SELECT DISTINCT l_orderkey AS sentence_id, l_linenumber AS line_number FROM lineitem""")

@@ -22,9 +22,6 @@ _SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the library's runtime settings and hand its code to the workers."""
     for key, value in _SETTINGS.items():

@@ -2,7 +2,8 @@
 
 The same step functions run per key; their small state is kept in the state
 store between micro-batches.  Rows of one key must arrive in order across
-batches; within a batch they are sorted.
+batches; within a batch they are sorted, so a key costs at most its share of
+one micro-batch, which the source limits bound.
 """
 
 from __future__ import annotations
@@ -10,48 +11,50 @@ from __future__ import annotations
 import pickle
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from readtrace.operators import align, gaze, lifecycle
-from readtrace.session import STATE_STORE
 
 _STATE = T.StructType([T.StructField("state", T.BinaryType())])
 
 
-class ScanProcessor(StatefulProcessor):
-    def __init__(self, init, step, order: Sequence[str], inputs: Sequence[str], keys: Sequence[str], output: T.StructType):
-        self.start, self.step, self.order, self.inputs = init, step, list(order), list(inputs)
-        self.names = list(keys) + output.names
-
-    def init(self, handle) -> None:
-        self.kept = handle.getValueState("kept", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        stored = self.kept.get()
-        state = pickle.loads(bytes(stored[0])) if stored is not None else self.start()
-        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
-            for out in self.step(state, tuple(_plain(row[c]) for c in self.inputs)):
-                yield Row(**dict(zip(self.names, (*key, *out))))
-        self.kept.update((bytearray(pickle.dumps(state)),))
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(v):
-    return list(v) if isinstance(v, (list, tuple)) else v
-
-
 def stream_scan(stream: DataFrame, keys: Sequence[str], order: Sequence[str], init, step,
                 output: T.StructType, inputs: Sequence[str]) -> DataFrame:
     """Streaming form of ``ordered_scan`` (append mode)."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    keys, order, inputs = list(keys), list(order), list(inputs)
     columns = list(dict.fromkeys([*keys, *order, *inputs]))
     schema = T.StructType([*[stream.schema[k] for k in keys], *output.fields])
-    return stream.select(*columns).groupBy(*keys).transformWithState(
-        ScanProcessor(init, step, order, inputs, keys, output), schema, "Append", "None")
+    whole = {c for c in inputs if isinstance(stream.schema[c].dataType, T.IntegralType)}
+    names = schema.names
+
+    def run(key, batches, state):
+        kept = pickle.loads(bytes(state.get[0])) if state.exists else init()
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        out = []
+        for row in zip(*[_values(rows[c], c in whole) for c in inputs]):
+            out.extend((*key, *o) for o in step(kept, row))
+        state.update((bytearray(pickle.dumps(kept)),))
+        if out:
+            yield pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*out))})
+
+    return stream.select(*columns).groupBy(*keys).applyInPandasWithState(
+        run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def _values(column: pd.Series, whole: bool) -> list:
+    """Plain Python values: pandas shows missing integers as NaN floats."""
+    def one(v):
+        if v is None or (isinstance(v, float) and v != v):
+            return None
+        if isinstance(v, np.ndarray):
+            return v.tolist()
+        return int(v) if whole else v
+
+    return [one(v) for v in column.tolist()]
 
 
 def fixations(samples: DataFrame, method: str = "dispersion", keys: Sequence[str] = ("session_id",),
