@@ -10,6 +10,8 @@ from readtrace.functions import text as tx
 from readtrace.operators import align as al
 from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
+from readtrace.operators.slots import split_words
+from readtrace.session import spread
 from readtrace.sources import texts, warehouse
 
 QUERIES, SQL = {}, {}
@@ -56,7 +58,7 @@ def s_prefix_fallback(spark, d):
 @query("s_indel_ratio")
 def s_indel_ratio(spark, d):
     """No subsequence length in the comparison engine; tested by brute force."""
-    return rounded(texts.word_pairs(spark, d).repartition("said").select(
+    return rounded(texts.word_pairs(spark, d).select(
         "said", "target", tx.indel_ratio(F.col("said"), F.col("target")).alias("score")))
 
 
@@ -90,6 +92,16 @@ def t_best_candidate(spark, d):
 
 @query("j7_lookahead_match_indel")
 def j7(spark, d):
+    """Whole documents as recognised texts, one row each."""
+    said = spread(warehouse.table(spark, d, "documents").select(F.col("doc_id").alias("sentence_id"), "text"))
+    rows = said.join(texts.document_sentences(spark, d), "sentence_id").select(
+        "sentence_id", split_words(F.col("text")).alias("said"), "words")
+    return rounded(al.align_texts(rows))
+
+
+@query("j7_word_stream")
+def j7_word_stream(spark, d):
+    """The same from single recognised words in arrival order."""
     return rounded(al.align_lookahead(texts.document_words(spark, d), texts.document_sentences(spark, d)))
 
 
@@ -99,7 +111,7 @@ def j8(spark, d):
 
 
 def _coded(spark, d):
-    return texts.typed_pairs(spark, d).repartition("conv_id", "turn", "part").withColumn(
+    return spread(texts.typed_pairs(spark, d)).withColumn(
         "ops", tx.opcodes(F.col("reference"), F.col("typed")))
 
 

@@ -128,8 +128,11 @@ def group_means(ds: DataFrame) -> DataFrame:
 def deltas(ds: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """Participant mean against the group, with a 5 % dead band."""
     info = feature_table(ds.sparkSession, scoring).select("feature_id", "direction", "threshold")
-    joined = (participant_stats(ds).join(F.broadcast(group_means(ds)), "feature_id")
-              .join(F.broadcast(info), "feature_id"))
+    stats = participant_stats(ds)
+    # 17 rows, from the same aggregate, so the sessions are not read again.
+    group = stats.groupBy("feature_id").agg(
+        F.try_divide(F.sum(F.col("mean") * F.col("n")), F.sum("n")).alias("group_mean"))
+    joined = stats.join(F.broadcast(group), "feature_id").join(F.broadcast(info), "feature_id")
     delta = F.col("mean") - F.col("group_mean")
     worse = F.when(F.col("direction") == "above", delta > 0).otherwise(delta < 0)
     tone = (F.when(F.col("mean").isNull(), "missing")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only: they can be applied to a session that exists.
 _SETTINGS = {
@@ -17,6 +17,9 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot sentence must be split even where the split costs one exchange more.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sentence-level hashing serves the word-level joins too, so a chain from
+    # records to sentence metrics moves the records once.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Larger Arrow batches do not pay off for narrow rows; this keeps the
     # memory of a Python worker flat whatever the partition holds.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
@@ -45,6 +48,15 @@ def _ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small input comes in fewer pieces than there are.
+
+    A large table already has many more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 
