@@ -148,7 +148,8 @@ def p_format_value(spark, d):
 row_number() OVER (PARTITION BY participant_id ORDER BY coalesce(start_epoch_ts, 0), session_id) AS session_no,
 F01_evs_speech_std_ms AS value FROM ds) SELECT participant_id, session_id, session_no, {r('value')} AS value FROM n WHERE value IS NOT NULL""")
 def w_session_ordinal(spark, d):
-    return rounded(an.session_ordinals(ds(spark, d), "F01_evs_speech_std_ms"))
+    return rounded(an.session_ordinals(
+        ds(spark, d), "F01_evs_speech_std_ms", warehouse.sessions(spark, d)))
 
 
 @query("w_trajectory", f"""WITH {sql.DATASET}, n AS (SELECT participant_id, session_id,
@@ -157,7 +158,7 @@ last_value(risk_band) OVER (PARTITION BY participant_id ORDER BY coalesce(start_
  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM ds)
 SELECT participant_id, session_id, session_no, risk_score, {_LABEL.format(x='b')} AS last_band FROM n""")
 def w_trajectory(spark, d):
-    return rounded(an.trajectory(ds(spark, d)))
+    return rounded(an.trajectory(ds(spark, d), warehouse.sessions(spark, d)))
 
 
 @query("agg_minmax", f"""WITH {sql.LONG}, w AS (SELECT session_id, feature_id, value, min(value) OVER (PARTITION BY session_id) AS lo,

@@ -10,8 +10,6 @@ from readtrace.functions import text as tx
 from readtrace.operators import align as al
 from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
-from readtrace.operators.slots import split_words
-from readtrace.session import spread
 from readtrace.sources import texts, warehouse
 
 QUERIES, SQL = {}, {}
@@ -93,10 +91,7 @@ def t_best_candidate(spark, d):
 @query("j7_lookahead_match_indel")
 def j7(spark, d):
     """Whole documents as recognised texts, one row each."""
-    said = spread(warehouse.table(spark, d, "documents").select(F.col("doc_id").alias("sentence_id"), "text"))
-    rows = said.join(texts.document_sentences(spark, d), "sentence_id").select(
-        "sentence_id", split_words(F.col("text")).alias("said"), "words")
-    return rounded(al.align_texts(rows))
+    return rounded(al.align_texts(texts.document_readings(spark, d)))
 
 
 @query("j7_word_stream")
@@ -111,7 +106,7 @@ def j8(spark, d):
 
 
 def _coded(spark, d):
-    return spread(texts.typed_pairs(spark, d)).withColumn(
+    return texts.typed_pairs(spark, d).withColumn(
         "ops", tx.opcodes(F.col("reference"), F.col("typed")))
 
 

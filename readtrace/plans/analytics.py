@@ -190,22 +190,28 @@ def comparison_text(ds: DataFrame) -> DataFrame:
         "participant_id", "feature_id", format_value(F.col("unit"), F.col("mean"), F.col("std")).alias("shown"))
 
 
-def _by_start(ds: DataFrame, target_rows: int) -> OrderedFrame:
-    keyed = ds.withColumn("_start", F.coalesce("start_epoch_ts", F.lit(0.0)))
-    return OrderedFrame(keyed, ["participant_id"], ["_start", "session_id"], target_rows=target_rows)
+def _by_start(ds: DataFrame, sessions: DataFrame | None, target_rows: int) -> OrderedFrame:
+    """``sessions``, if given, is counted instead of the dataset built on it."""
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_start", F.coalesce("start_epoch_ts", F.lit(0.0)))
 
+    return OrderedFrame(keyed(ds), ["participant_id"], ["_start", "session_id"], target_rows=target_rows,
+                        measure=keyed(sessions) if sessions is not None else None)
 
-def session_ordinals(ds: DataFrame, feature: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+
+def session_ordinals(ds: DataFrame, feature: str, sessions: DataFrame | None = None,
+                     target_rows: int = TARGET_ROWS) -> DataFrame:
     """Trend of a feature: ordinal of the session, sessions without it skipped."""
-    rows = _by_start(ds.select("participant_id", "session_id", "start_epoch_ts", feature), target_rows)
+    rows = _by_start(ds.select("participant_id", "session_id", "start_epoch_ts", feature), sessions, target_rows)
     return rows.row_number("session_no").df.filter(F.col(feature).isNotNull()).select(
         "participant_id", "session_id", "session_no", F.col(feature).alias("value"))
 
 
-def trajectory(ds: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+def trajectory(ds: DataFrame, sessions: DataFrame | None = None,
+               target_rows: int = TARGET_ROWS) -> DataFrame:
     """Score per session ordinal with the participant's latest band."""
     rows = _by_start(ds.select("participant_id", "session_id", "start_epoch_ts", "risk_score",
-                               "risk_band"), target_rows).row_number("session_no").df
+                               "risk_band"), sessions, target_rows).row_number("session_no").df
     last = ds.groupBy("participant_id").agg(F.max_by(
         F.upper(F.coalesce("risk_band", F.lit(""))),
         F.struct(F.coalesce("start_epoch_ts", F.lit(0.0)), "session_id")).alias("_last"))

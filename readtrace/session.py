@@ -49,8 +49,9 @@ def _ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a small input comes in fewer pieces than there are.
+    """Use all cores where a small table is read in fewer pieces than there are.
 
+    For scans only (asking a plan with a shuffle for its pieces would run it).
     A large table already has many more splits than cores and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readtrace.functions.text import alnum
 from readtrace.operators.ordered import OrderedFrame
 from readtrace.operators.slots import split_words
+from readtrace.session import spread
 from readtrace.sources.warehouse import micros, table
 
 
@@ -28,6 +29,16 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode(split_words(F.col("text"))).alias("seq", "word"))
 
 
+def document_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document with the words said and the words to read in one row."""
+    items = table(spark, sf_dir, "benchmark")
+    n_items = items.count()
+    said = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return (said.withColumn("item_id", F.col("doc_id") % n_items)
+            .join(items.select("item_id", split_words(F.col("text")).alias("words")), "item_id")
+            .select(F.col("doc_id").alias("sentence_id"), split_words(said["text"]).alias("said"), "words"))
+
+
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pairs of a document word and the sentence word of the same ordinal."""
     said = document_words(spark, sf_dir)

@@ -4,12 +4,10 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from readtrace.operators import gaze as gz
 from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
-from readtrace.operators.align import align_live, align_lookahead, char_masks, common_subsequence
+from readtrace.operators.align import align_live, align_lookahead, align_texts, char_masks, common_subsequence
 
 TARGETS = [10_000_000, 50]
 
@@ -147,6 +145,13 @@ def test_lookahead(spark):
     assert align(spark, ["cats"], threshold=90.0) == []
 
 
+def test_texts_in_rows_equal_words_in_rows(spark):
+    said = "a the cat mat the sat onn the mat cat".split()
+    texts = spark.createDataFrame([(1, said, SENTENCE)], "sentence_id long, said array<string>, words array<string>")
+    got = sorted((r.seq, r.word_index, r.fuzzy_score) for r in align_texts(texts).collect())
+    assert got == align(spark, said) and got
+
+
 def test_lookahead_cut(spark):
     said = ["x", "the", "y", "cat", "z", "sat", "on", "q", "the", "mat"] * 30
     assert align(spark, said, target=20) == align(spark, said)
@@ -207,4 +212,3 @@ def test_words_under_gaze_takes_lowest_index(spark):
                                    "sample_id long, sentence_id long, x double, y double")
     got = {r.sample_id: r.word_index for r in gz.words_under_gaze(points, boxes).collect()}
     assert got == {1: 0, 2: 1, 3: None, 4: None}
-    assert F is not None
