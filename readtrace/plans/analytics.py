@@ -24,11 +24,6 @@ from readtrace.schema import FEATURES, VECTOR
 UNKNOWN = "INCONCLUSIVE"
 
 
-def truthy(x: Column) -> Column:
-    """NULL for 0 and '' as well, so that ``coalesce`` falls through them."""
-    return F.when(x.cast("string").isin("", "0", "0.0"), None).otherwise(x)
-
-
 def parse_vector(risk_scores: DataFrame) -> DataFrame:
     """Stored risk rows with the JSON vector as columns."""
     return risk_scores.withColumn("_fv", F.from_json("feature_vector_json", VECTOR)).select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +101,3 @@ def weight_warnings(params: DataFrame) -> DataFrame:
 def breach(value: Column, threshold: Column, direction: Column) -> Column:
     return (F.when(direction == "above", value > threshold)
             .when(direction == "below", value < threshold))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from readtrace.plans.analytics import parse_vector
 from readtrace.plans.risk import modality_averages
-from readtrace.schema import FEATURES
 from readtrace.session import scratch_dir
 
 # Sentences per part of a session document; see session_documents.
@@ -165,7 +164,3 @@ def close_rows(sessions: DataFrame, closes: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in cols
           else F.greatest("seq", "_seq").alias("seq") if c == "seq" else F.col(c)
           for c in sessions.columns])
-
-
-def vector_json() -> Column:
-    return F.to_json(F.struct(*FEATURES), {"ignoreNullFields": "false"})
