@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from readtrace.llm import curriculum, language, line_crf, notices, templates, token_counts, toxicity, weak_rules
+from readtrace.llm import context_mixing, curriculum, language, line_crf, notices, templates, token_counts, toxicity, weak_rules
 from readtrace.llm.common import fold, prepared, table
 
 ID = F.col("doc_id")
@@ -32,6 +32,11 @@ def op1_language_codes(spark, sf_dir):
     return language.identified(docs, coder).select("doc_id", fold(ID, 4).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op2_context_mixing(spark, sf_dir):
+    return context_mixing.scored(table(spark, sf_dir, "documents"), ~fold(ID, 7))
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
