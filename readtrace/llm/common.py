@@ -34,9 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fold(doc_id: Column, modulus: int) -> Column:
+def fold(doc_id: str, modulus: int) -> Column:
     """Whether a document is held out from learning; a null id is not."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == 2, F.lit(False))
 
 
 def stash(df: DataFrame, purpose: str) -> DataFrame:
@@ -70,6 +70,18 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], sch
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """Rows, with all their columns, for which ``keep()`` says true of a list of one column's values."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 

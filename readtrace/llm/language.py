@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readtrace.llm.common import BOOL, DOUBLE, LONG, STRING, map_rows, struct
+from readtrace.llm.common import BOOL, DOUBLE, LONG, STRING, filter_rows, map_rows, struct
 
 BUCKETS = 1 << 14
 #: Steepness of the bit losses, and of turning losses into a score.
@@ -138,3 +138,17 @@ def identified(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col:
             yield batch["doc_id"], *(list(c) for c in zip(*rows, strict=True))
 
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+
+
+def decided(docs: DataFrame, coder: Coder, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose language is told, with all their columns: not those that are ``und``,
+    nor those between two codewords with a score below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(coder)
+
+    def keep():
+        def judge(texts: list) -> list[bool]:
+            found = map(shared.value.decode, texts)
+            return [lang != "und" and not (ambiguous and score < least) for lang, score, ambiguous in found]
+        return judge
+
+    return filter_rows(docs, text_col, keep)

@@ -7,10 +7,9 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from readtrace.llm import context_mixing, curriculum, language, line_crf, notices, templates, token_counts, toxicity, weak_rules
-from readtrace.llm.common import fold, prepared, table
+from readtrace.llm import context_mixing, curriculum, language, line_crf, minmax_dedup, notices, templates, token_counts, toxicity, weak_rules
+from readtrace.llm.common import WORD, fold, prepared, table
 
-ID = F.col("doc_id")
 
 QUERIES = {}
 SQL = {}
@@ -28,13 +27,13 @@ def query(fn):
 @query
 def op1_language_codes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    coder = language.learn(docs, ~fold(ID, 4))
-    return language.identified(docs, coder).select("doc_id", fold(ID, 4).alias("held_out"), "lang_pred", "score", "ambiguous")
+    coder = language.learn(docs, ~fold("doc_id", 4))
+    return language.identified(docs, coder).select("doc_id", fold("doc_id", 4).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 @query
 def op2_context_mixing(spark, sf_dir):
-    return context_mixing.scored(table(spark, sf_dir, "documents"), ~fold(ID, 7))
+    return context_mixing.scored(table(spark, sf_dir, "documents"), ~fold("doc_id", 7))
 
 
 @query
@@ -53,19 +52,24 @@ def op5_weak_rules(spark, sf_dir):
     return weak_rules.judged(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_minmax_dedup(spark, sf_dir):
+    return minmax_dedup.deduplicated(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 @query
 def op7_line_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = line_crf.learn(docs, labels, ~fold(ID, 4))
-    return line_crf.scored(docs, model).select("doc_id", fold(ID, 4).alias("held_out"), "score", "predicted", "n_lines", "bad_share")
+    model = line_crf.learn(docs, labels, ~fold("doc_id", 4))
+    return line_crf.scored(docs, model).select("doc_id", fold("doc_id", 4).alias("held_out"), "score", "predicted", "n_lines", "bad_share")
 
 
 @query
 def op8_toxic_sentences(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.learn(docs, labels, ~fold(ID, 4))
+    model = toxicity.learn(docs, labels, ~fold("doc_id", 4))
     return toxicity.scored(docs, model).select(
-        "doc_id", fold(ID, 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "doc_id", fold("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
         F.size("places").alias("n_places"))
 
 
@@ -77,3 +81,59 @@ def op9_template_decontamination(spark, sf_dir):
 @query
 def op10_license_notices(spark, sf_dir):
     return notices.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _mix_sql() -> str:
+    """Shares by water filling, supply in the order of a hash, positions by the inverted schedules."""
+    def at(kind: int, epoch: int) -> str:
+        knots = curriculum.SCHEDULES[kind]
+        share = f"least((start + size / 2 + source_size * {epoch}) / target, 1.0)"
+        text, done = "1.0", 0.0
+        area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
+        for (t0, w0), (t1, w1) in reversed(list(zip(knots, knots[1:], strict=False))):
+            done = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False) if b[0] <= t0)
+            upto = (done + (t1 - t0) * (w0 + w1) / 2) / area
+            need, slope = f"({share} * {area} - {done})", (w1 - w0) / (t1 - t0)
+            text = (f"CASE WHEN {share} <= {upto} THEN {t0} + CASE WHEN {need} <= 0 THEN 0.0 ELSE 2 * {need} / "
+                    f"({w0} + sqrt(greatest({w0 * w0} + 2 * {slope} * {need}, 0.0))) END ELSE {text} END")
+        return text
+
+    part = [f"greatest(0, least(size, upto - source_size * {e} - start))" for e in range(3)]
+    first = " ".join(f"WHEN kind = {k} AND taken > 0 THEN {at(k, 0)}" for k in range(3))
+    return f"""
+WITH docs AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM docs GROUP BY source),
+ordered AS (SELECT *, kind + 1 AS weight, source_size * 3 / (kind + 1) AS ratio FROM sources),
+levels AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT)
+           - coalesce(CAST(sum(source_size * 3) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+           / CAST(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM ordered),
+free AS (SELECT ratio AS free_ratio, level AS free_level FROM levels WHERE ratio >= level ORDER BY ratio, level LIMIT 1),
+targets AS (SELECT source, source_size, kind, CASE WHEN ratio < free_ratio THEN CAST(source_size * 3 AS DOUBLE)
+           ELSE least(CAST(source_size * 3 AS DOUBLE), free_level * weight) END AS target FROM levels, free),
+placed AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.kind, CAST(floor(t.target + 0.5) AS BIGINT) AS upto,
+           coalesce(CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
+           FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taken AS (SELECT *, {' + '.join(part)} AS taken, {' + '.join(f'CAST({p} > 0 AS BIGINT)' for p in part)} AS copies FROM placed)
+SELECT doc_id, size, source_size, target, taken, copies, round(CASE {first} END, 9) AS position FROM taken"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op4_curriculum_mix"] = _mix_sql()
+SQL["op6_minmax_dedup"] = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2]))) AS shingle
+    FROM texts WHERE len(words) >= 3
+    UNION ALL SELECT doc_id, concat_ws(' ', '', array_to_string(words, ' ')) FROM texts WHERE len(words) BETWEEN 1 AND 2)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS to_id FROM both_ways UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON l.a = r.to_id),
+components AS (SELECT id, min(to_id) AS c FROM reach GROUP BY id)
+SELECT t.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, t.doc_id) AS component_id,
+       t.doc_id = coalesce(c.c, t.doc_id) AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN components c ON c.id = t.doc_id"""

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readtrace.llm.common import DOUBLE, LONG, STRING, map_rows, stash, struct
+from readtrace.llm.common import DOUBLE, LONG, STRING, filter_rows, map_rows, stash, struct
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -144,6 +144,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
+def posteriors(rows: DataFrame) -> dict[str, float]:
+    """P(good) of every vote pattern that occurs, fitted over all rows with a ``pattern``."""
+    patterns = {r.pattern: r.n for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    model = fit(patterns)
+    return {k: posterior(k, model) for k in patterns}
+
+
 def judged(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measures, base rules, posterior and verdict of every document.
 
@@ -152,11 +159,8 @@ def judged(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
     The rules' behaviour is estimated over all documents.
     """
     rows = stash(measures(docs, id_col, text_col), "quality-rules")
-    patterns = {r.pattern: r.n for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    model = fit(patterns)
-    known = [(k, posterior(k, model)) for k in patterns]
     # One row per vote pattern: at most 3 ** len(RULES).
-    scores = docs.sparkSession.createDataFrame(known, struct(("pattern", STRING), ("quality", DOUBLE)))
+    scores = docs.sparkSession.createDataFrame(list(posteriors(rows).items()), struct(("pattern", STRING), ("quality", DOUBLE)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (rows.join(F.broadcast(scores), "pattern")
             .withColumn("base_failed", failed)
@@ -165,4 +169,17 @@ def judged(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text
                     "base_failed", "kept", "quality", "pattern"))
 
 
-__all__ = ["RULES", "fit", "judged", "measure", "measures", "posterior", "repeated_words", "votes"]
+def kept(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that ``judged`` keeps, with all their columns, row by row and without a join."""
+    quality = posteriors(measures(docs, id_col, text_col))
+
+    def keep():
+        def judge(texts: list) -> list[bool]:
+            rows = [measure(t) for t in texts]
+            return [r[0] >= 20 and 100 * r[4] <= 30 * r[0] and quality[votes(*r)] >= threshold for r in rows]
+        return judge
+
+    return filter_rows(docs, text_col, keep)
+
+
+__all__ = ["RULES", "fit", "judged", "kept", "measure", "measures", "posterior", "repeated_words", "votes"]
