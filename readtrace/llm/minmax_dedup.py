@@ -4,10 +4,12 @@ Each hash function over a document's shingles gives two signature values, the sm
 and the largest, so half the hash evaluations serve. Values are banded; documents that
 share a band are candidates. Exact copies of a shingle set are one class from the start.
 
-Within a bucket no pairs are enumerated: in each round a bucket names a pivot, members
-that are not yet connected with it are compared with it on the full sets, and connected
-components shrink what is left. Only members of different components that still share
-buckets when a round links nothing new are compared pair by pair.
+Within a bucket no pairs are enumerated. Every candidate is compared with one centre, the
+most connected document that it shares buckets with, on the full sets; this links most of
+a group. Two others with the centre P in common can share at most
+``min(|A & P|, |B & P|)`` shingles inside P, so they can only be linked where that is
+enough, or together with shingles that they share outside P, which a join on those finds.
+Pairs of different components that this does not rule out are compared on the full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,12 +98,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_rows(found, run, schema)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds what pairs (a, b) have in common: ``near``, and the sizes ``na`` and ``nb``."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    sizes = F.size("sa") + F.size("sb")
-    near = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * near >= percent * (sizes - near)).select("a", "b")
+    return (pairs.join(left, "a").join(right, "b")
+            .withColumns({"near": F.size(F.array_intersect("sa", "sb")), "na": F.size("sa"), "nb": F.size("sb")}))
+
+
+def _reaches(near: str | Column, sizes: Column, percent: int) -> Column:
+    """100 * near >= percent * (sizes - near), near being the size of the intersection."""
+    near = F.col(near) if isinstance(near, str) else near
+    return near * (100 + percent) >= sizes * percent
 
 
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
@@ -125,24 +132,44 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
             return labels
 
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """For each member outside its buckets' pivots' components, one pivot to be compared with.
+def _centres(members: DataFrame) -> DataFrame:
+    """(id, centre): of the best connected member of each of a document's buckets, the most frequent."""
+    best = members.groupBy("band").agg(F.max(F.struct("mates", -F.col("id"))).alias("p")).select("band", (-F.col("p.col2")).alias("centre"))
+    votes = members.select("band", "id").join(best, "band").groupBy("id", "centre").agg(F.count("*").alias("k"))
+    return votes.groupBy("id").agg(F.max(F.struct("k", -F.col("centre"))).alias("c")).select("id", (-F.col("c.col2")).alias("centre"))
+
 
-    ``members``: (band, id, n, component). Pivots: first the smallest id, then the member
-    with the most bucket mates, then by chance.
+def _open_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates of different components that their common centre does not rule out.
+
+    ``members``: (band, id, n, component) of buckets with several components;
+    ``stars``: (id, centre, near, home), the overlap with the centre and its component.
     """
-    order = (F.struct("id", "component", "n") if turn == 0 else
-             F.struct(-F.col("mates"), "id", "component", "n") if turn == 1 else
-             F.struct(F.xxhash64("id", F.lit(turn)), "id", "component", "n"))
-    pivots = members.groupBy("band").agg(F.min(order).alias("p")).select(
-        "band", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n"))
-    pairs = members.join(pivots, "band").where(F.col("component") != F.col("pivot_component"))
-    return (pairs.groupBy("id").agg(F.min_by("pivot", F.xxhash64("pivot", F.lit(turn)) if turn else F.col("pivot")).alias("pivot"))
-            .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-
-
-def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 4,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    full = members.join(stars, "id")
+    about = full.groupBy("band").agg(F.min("n").alias("least"), (F.min("centre") != F.max("centre")).alias("several"),
+                                     F.max_by("component", "near").alias("main"))
+    able = _reaches("near", F.col("n") + F.col("least"), percent) | F.col("several")
+    full = full.join(about, "band").where(able).drop("least", "several")
+    x, y = full.where(F.col("component") != F.col("main")).alias("x"), full.alias("y")
+    sizes = F.col("x.n") + F.col("y.n")
+    different = (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    within = (x.join(y, F.col("x.band") == F.col("y.band"))
+              .where(different & ((F.col("x.centre") != F.col("y.centre")) | _reaches(F.least("x.near", "y.near"), sizes, percent)))
+              .select(*pair))
+    # Shingles outside the centre, shared by documents of one centre.
+    own = members.select("id", "n", "component").distinct().join(stars, "id")
+    outside = (own.join(sets.select("id", "set"), "id").join(sets.select(F.col("id").alias("centre"), F.col("set").alias("core")), "centre")
+               .select("id", "n", "component", "centre", "near", "home", F.explode(F.array_except("set", "core")).alias("shingle")))
+    x, y = outside.where(F.col("component") != F.col("home")).alias("x"), outside.alias("y")
+    beside = (x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("x.shingle") == F.col("y.shingle"))).where(different)
+              .groupBy(*pair, F.col("x.id").alias("from"), sizes.alias("sizes"), F.least("x.near", "y.near").alias("inside"))
+              .agg(F.count("*").alias("outside"))
+              .where(_reaches(F.col("inside") + F.col("outside"), F.col("sizes"), percent)).select("a", "b"))
+    return within.unionByName(beside).distinct()
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (smallest id reachable by links), kept.
 
     Links: ``100 * intersection >= percent * union`` of the sets of ``width``-word shingles
@@ -161,48 +188,34 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int
     banded = classes.select("id", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
     members = stash(banded.join(shared, "band"), "buckets")
-    wanted = members.select("id").distinct()
-    mates = members.groupBy("id").agg(F.sum("mates").alias("mates"))
-    sets = stash(_sets(docs, wanted, width).groupBy("id").agg(F.min("set").alias("set")), "sets")
-    members = stash(members.drop("mates").join(mates, "id").withColumn("component", F.col("id")), "buckets")
+    mates = stash(members.groupBy("id").agg(F.sum("mates").alias("mates")), "mates")
+    sets = stash(_sets(docs, mates.select("id"), width).groupBy("id").agg(F.min("set").alias("set")), "sets")
+    members = stash(members.drop("mates").join(mates, "id"), "buckets")
     # Ids whose rows hold different texts tie the classes of these together.
     twice = able.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).where("k > 1").select("doc_id")
     ties = (able.join(twice, "doc_id").join(classes.select("digest", "id"), "digest").where("doc_id <> id")
-            .select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
-    links = stash(ties.distinct(), "links")
-    turn, seen = 0, None
-    while True:
-        if turn < rounds:
-            pairs = _pivot_pairs(members, turn)
-        else:
-            # What is left: members of different components in one bucket, with sizes that allow a link.
-            left, right = members.alias("x"), members.alias("y")
-            pairs = (left.join(right, F.col("x.band") == F.col("y.band"))
-                     .where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-                            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-                     .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        found = stash(_linked(pairs, sets, percent), "links")
-        links = links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        labels = components(links)
-        if turn >= rounds:
-            break
-        members = (members.drop("component").join(labels, "id", "left")
-                   .withColumn("component", F.coalesce("component", "id")))
-        # Buckets within one component have nothing left to tell.
-        mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        members = stash(members.join(mixed, "band"), "buckets")
-        turn += 1
-        if turn > 1 and not found.limit(1).count():
-            turn = rounds
-        if not members.limit(1).count():
-            break
+            .select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    stars = stash(_overlaps(_centres(members).select(F.col("id").alias("a"), F.col("centre").alias("b")), sets)
+                  .select(F.col("a").alias("id"), F.col("b").alias("centre"), "near", (F.col("na") + F.col("nb")).alias("sizes")), "stars")
+    close = stars.where((F.col("id") != F.col("centre")) & _reaches("near", F.col("sizes"), percent))
+    links = stash(ties.unionByName(close.select(F.col("id").alias("a"), F.col("centre").alias("b"))), "links")
+    labels = components(links)
+
+    def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
+        found = labels.select(F.col("id").alias(key), F.col("component").alias(name))
+        return df.join(found, key, "left").withColumn(name, F.coalesce(name, key))
+
+    # Buckets within one component have nothing left to tell.
+    members = stash(labelled(members.drop("mates"), "id", "component"), "buckets")
+    mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    members = stash(members.join(mixed, "band"), "buckets")
+    open_ = stash(_open_pairs(members, labelled(stars.drop("sizes"), "centre", "home"), sets, percent), "pairs")
+    found = stash(_overlaps(open_, sets).where(_reaches("near", F.col("na") + F.col("nb"), percent)).select("a", "b"), "links")
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
     known = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     own = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("tied"))
-    out = signed.join(known, "digest", "left").join(own, "doc_id", "left")
+    out = signed.drop("bands").join(known, "digest", "left").join(own, "doc_id", "left")
     component = F.coalesce(F.least("component", "tied"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
