@@ -78,7 +78,7 @@ def windows(ids: np.ndarray, slots: np.ndarray, size: int, family: int) -> tuple
         h = (h ^ ids[i:i + n]) * _STEP
         h ^= h >> np.uint64(29)
         literal += ~slots[i:i + n]
-    keep = np.flatnonzero(literal >= min(LITERALS, size))
+    keep = np.flatnonzero(literal >= LITERALS)
     return keep, h[keep]
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,11 @@ class Counter:
 
     def boundaries(self, text: str, start: int, end: int) -> list[int]:
         """Begin offset of every token of a chunk, as places in the whole text."""
-        return [start + p.begin for p in self.model.encode(text[start:end], out_type="immutable_proto").pieces]
+        part = text[start:end]
+        begins = [p.begin for p in self.model.encode(part, return_type="proto").pieces]  # in bytes
+        first = (np.frombuffer(part.encode(), np.uint8) & 0xC0) != 0x80
+        places = np.concatenate(([0], np.cumsum(first)))
+        return (places[begins] + start).tolist() if begins else []
 
     def spliced(self, text: str) -> int:
         if not self.plain:
