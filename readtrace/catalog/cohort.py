@@ -37,8 +37,9 @@ _FEATS = ", ".join(f if f in _INTF else f"{r(f)} AS {f}" for f in FEATURE_NAMES)
 _LONG_DS = "longds AS (" + " UNION ALL ".join(
     f"SELECT participant_id, session_id, '{f[:3]}' AS feature_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM ds"
     for f in FEATURE_NAMES) + ")"
-_STATS = _LONG_DS + """, stats AS (SELECT participant_id, feature_id, feature, avg(value) AS mean,
- CASE WHEN count(value) > 1 THEN stddev_pop(value) ELSE 0.0 END AS std, count(value) AS n FROM longds GROUP BY ALL)"""
+_STATS = _LONG_DS + """, stats AS (SELECT participant_id, feature_id, feature,
+ CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) / count(value) AS mean,
+ CASE WHEN count(value) > 1 THEN round(stddev_pop(value), 9) ELSE 0.0 END AS std, count(value) AS n FROM longds GROUP BY ALL)"""
 
 
 @query("j4_session_risk", f"""WITH {sql.DATASET} SELECT session_id, participant_id, start_epoch_ts, session_risk_score,
@@ -137,9 +138,9 @@ def agg_comparison(spark, d):
 
 
 @query("p_format_value", f"""WITH {sql.DATASET}, {_STATS} SELECT participant_id, feature_id, CASE WHEN mean IS NULL THEN '—'
-WHEN feature_id IN ('F01', 'F02', 'F05', 'F06', 'F07', 'F14') THEN printf('%.1f ± %.1f ms', mean, std)
-WHEN feature_id IN ('F09', 'F13') THEN printf('%.1f ± %.1f', mean, std)
-ELSE printf('%.4f ± %.4f', mean, std) END AS shown FROM stats""")
+WHEN feature_id IN ('F01', 'F02', 'F05', 'F06', 'F07', 'F14') THEN printf('%.1f ± %.1f ms', round(mean, 1), round(std, 1))
+WHEN feature_id IN ('F09', 'F13') THEN printf('%.1f ± %.1f', round(mean, 1), round(std, 1))
+ELSE printf('%.4f ± %.4f', round(mean, 4), round(std, 4)) END AS shown FROM stats""")
 def p_format_value(spark, d):
     return an.comparison_text(ds(spark, d))
 

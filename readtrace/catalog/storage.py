@@ -17,7 +17,7 @@ from readtrace.operators.slots import flat_slots
 from readtrace.plans.analytics import parse_vector
 from readtrace.plans.risk import risk_rows
 from readtrace.plans.session_chain import from_warehouse
-from readtrace.schema import DATASET, FEATURES, INTEGER_FEATURES, SESSIONS, VECTOR
+from readtrace.schema import DATASET, FEATURES, INTEGER_FEATURES, SESSIONS, STORED_TABLES, VECTOR
 from readtrace.session import scratch_dir
 from readtrace.sinks import writers as wr
 from readtrace.sources import readers as rd
@@ -139,7 +139,7 @@ def snk_dataset(spark, d):
 
 @query("src_dataset", f"WITH {sql.DATASET} {_DS}")
 def src_dataset(spark, d):
-    return _shown(spark.read.schema(DATASET).json(_dataset(spark, d) + "/json"))
+    return _shown(rd.read_dataset(spark, _dataset(spark, d) + "/json", "json"))
 
 
 def _documents(spark, d):
@@ -167,10 +167,9 @@ def snk_session_export(spark, d):
 
 @query("src_export_json", _EXPORT)
 def src_export_json(spark, d):
-    from readtrace.schema import EXPORT_DOCUMENT
     path = scratch_dir(spark, "export")
     wr.write_session_export(_documents(spark, d), path)
-    return _export_rows(spark.read.schema(EXPORT_DOCUMENT).json(path))
+    return _export_rows(rd.read_export_json(spark, path))
 
 
 def _log(spark, d):
@@ -272,7 +271,10 @@ def src_tables(spark, d):
     rows = warehouse.sessions(spark, d)
     rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                   for f in SESSIONS.fields]).write.parquet(f"{root}/sessions")
-    back = spark.read.schema(SESSIONS).parquet(f"{root}/sessions")
+    for name, schema in STORED_TABLES.items():
+        if name != "sessions":  # no rows of these here, but a complete store
+            spark.createDataFrame([], schema).write.parquet(f"{root}/{name}")
+    back = rd.read_tables(spark, root)["sessions"]
     return rounded(back.select("session_id", "participant_id", "start_epoch_ts", "n_sentences"))
 
 
@@ -289,25 +291,20 @@ def src_protocol(spark, d):
             F.concat(F.lit("S"), i).alias("id"), F.when(i < 2, "practice").otherwise("scored").alias("type"),
             t.alias("text"), F.lit(1.0).alias("grade_level"), F.size(F.split(t, " ")).alias("word_count"))).alias("sentences")
     ).write.json(path)
-    from readtrace.operators.slots import split_words
-    from readtrace.schema import PROTOCOL
-    read = spark.read.schema(PROTOCOL).json(path)  # one document per line here
-    rows = read.select("version", F.posexplode("sentences").alias("sentence_index", "s"))
-    return rounded(rows.select(F.col("version").cast("long").alias("item_id"), "sentence_index", F.col("s.text").alias("text"),
-                               F.size(split_words(F.col("s.text"))).alias("n_words")))
+    return rounded(rd.read_protocol(spark, path).select(
+        F.col("version").cast("long").alias("item_id"), "sentence_index", "text", F.size("words").alias("n_words")))
 
 
 @query("src_calibration", """SELECT label AS session_id, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS intercept FROM embeddings GROUP BY 1""")
 def src_calibration(spark, d):
-    """Profiles as JSON, read with their schema."""
-    from readtrace.schema import CALIBRATION
+    """Profiles as JSON, read back by the reader."""
     path = scratch_dir(spark, "calibration")
     (warehouse.table(spark, d, "embeddings").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.get("embedding", F.lit(0)).cast("double")).alias("m"))
      .select(F.col("label").cast("string").alias("session_id"), F.col("n").cast("double").alias("rmse"),
              F.lit(True).alias("valid"), F.array(F.lit(1.0), F.lit(2.0)).alias("model_x_coef"),
              F.col("m").alias("model_x_intercept")).write.json(path))
-    return rounded(spark.read.schema(CALIBRATION).json(path).select(
+    return rounded(rd.read_calibration(spark, path).select(
         F.col("session_id").cast("long").alias("session_id"), F.col("rmse").cast("long").alias("n"),
         F.col("model_x_intercept").alias("intercept")))
 

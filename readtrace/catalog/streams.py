@@ -179,7 +179,7 @@ def st_align(spark, d):
 
 @query("st_lifecycle_stream")
 def st_lifecycle_stream(spark, d):
-    names = [m.split()[1] for m in lc.MOVES.split("\n") if m]
+    names = [event for _, event, _ in lc.MOVES]
     event = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("k") % len(names) + 1).cast("int"))
     s = _stream_samples(spark, d).select("session_id", "ts_ns", F.col("sample_id").alias("event_id"), event.alias("event"))
     return rounded(_finish(spark, scan.lifecycle_history(s), "lifecycle"))

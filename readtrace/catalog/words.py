@@ -211,7 +211,7 @@ def _advances(spark, d):
 @query("st_lifecycle")
 def st_lifecycle(spark, d):
     """State after an ignored event depends on all events before it."""
-    names = [m.split()[1] for m in lc.MOVES.split("\n") if m]
+    names = [event for _, event, _ in lc.MOVES]
     event = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("k") % len(names) + 1).cast("int"))
     events = _advances(spark, d).withColumn("event", event)
     return rounded(lc.lifecycle_history(events.select("session_id", "ts_ns", "event_id", "event")))

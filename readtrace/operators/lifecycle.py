@@ -11,23 +11,23 @@ from pyspark.sql import types as T
 from readtrace.operators.ordered import TARGET_ROWS, OrderedFrame
 from readtrace.operators.scan import ordered_scan
 
-# The legal moves of a session, "state event next".
-MOVES = """
-IDLE START_CALIBRATION CALIBRATING
-CALIBRATING CALIBRATION_COMPLETE CALIBRATED
-CALIBRATING CALIBRATION_FAILED CALIBRATING
-CALIBRATED SESSION_STARTED SESSION_START
-SESSION_START SESSION_STARTED SENTENCE_LOAD
-SENTENCE_LOAD SENTENCE_LOADED SENTENCE_ACTIVE
-SENTENCE_ACTIVE WORDS_PROCESSED AWAITING_TRIGGER
-SENTENCE_ACTIVE TIMEOUT AWAITING_TRIGGER
-SENTENCE_ACTIVE ERROR ERROR
-AWAITING_TRIGGER PHYSICAL_TRIGGER SENTENCE_CLOSE
-SENTENCE_CLOSE SENTENCE_PROCESSED SENTENCE_LOAD
-SENTENCE_CLOSE MORE_SENTENCES SENTENCE_LOAD
-SENTENCE_CLOSE NO_MORE_SENTENCES SESSION_CLOSE
-SENTENCE_CLOSE ERROR ERROR
-"""
+# The legal moves of a session, as (state, event, next state).
+MOVES = (
+    ("IDLE", "START_CALIBRATION", "CALIBRATING"),
+    ("CALIBRATING", "CALIBRATION_COMPLETE", "CALIBRATED"),
+    ("CALIBRATING", "CALIBRATION_FAILED", "CALIBRATING"),
+    ("CALIBRATED", "SESSION_STARTED", "SESSION_START"),
+    ("SESSION_START", "SESSION_STARTED", "SENTENCE_LOAD"),
+    ("SENTENCE_LOAD", "SENTENCE_LOADED", "SENTENCE_ACTIVE"),
+    ("SENTENCE_ACTIVE", "WORDS_PROCESSED", "AWAITING_TRIGGER"),
+    ("SENTENCE_ACTIVE", "TIMEOUT", "AWAITING_TRIGGER"),
+    ("SENTENCE_ACTIVE", "ERROR", "ERROR"),
+    ("AWAITING_TRIGGER", "PHYSICAL_TRIGGER", "SENTENCE_CLOSE"),
+    ("SENTENCE_CLOSE", "SENTENCE_PROCESSED", "SENTENCE_LOAD"),
+    ("SENTENCE_CLOSE", "MORE_SENTENCES", "SENTENCE_LOAD"),
+    ("SENTENCE_CLOSE", "NO_MORE_SENTENCES", "SESSION_CLOSE"),
+    ("SENTENCE_CLOSE", "ERROR", "ERROR"),
+)
 
 HISTORY = T.StructType([
     T.StructField("ts_ns", T.LongType()), T.StructField("event", T.StringType()),
@@ -39,7 +39,7 @@ class Lifecycle:
     """An event without a move from the current state is ignored, not an error."""
 
     def __init__(self):
-        self.moves = {(s, e): n for s, e, n in (line.split() for line in MOVES.split("\n") if line)}
+        self.moves = {(state, event): after for state, event, after in MOVES}
 
     @staticmethod
     def start() -> dict:

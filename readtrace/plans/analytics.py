@@ -105,13 +105,16 @@ def trigger_rates(ds: DataFrame, scoring: Scoring | None = None) -> DataFrame:
 def participant_stats(ds: DataFrame) -> DataFrame:
     """Mean and population spread per participant and feature.
 
-    The spread is 0 up to one value; the mean is NULL without values.
+    The spread is 0 up to one value; the mean is NULL without values. Features have nine
+    decimals, so their sum is exact and the mean does not depend on the order of rows. One
+    row per participant is shuffled, not one per feature.
     """
-    rows = long_features(ds, ["participant_id"])
-    return rows.groupBy("participant_id", "feature_id", "feature").agg(
-        F.avg("value").alias("mean"),
-        F.when(F.count("value") > 1, F.stddev_pop("value")).otherwise(0.0).alias("std"),
-        F.count("value").alias("n"))
+    parts = [F.struct(
+        F.lit(f[:3]).alias("feature_id"), F.lit(f).alias("feature"),
+        F.try_divide(F.sum(F.col(f).cast("decimal(28,9)")).cast("double"), F.count(f)).alias("mean"),
+        F.when(F.count(f) > 1, F.round(F.stddev_pop(F.col(f).cast("double")), 9)).otherwise(0.0).alias("std"),
+        F.count(f).alias("n")) for f in FEATURES]
+    return ds.groupBy("participant_id").agg(F.array(*parts).alias("_s")).select("participant_id", F.inline("_s"))
 
 
 def group_means(ds: DataFrame) -> DataFrame:
@@ -172,11 +175,12 @@ def comparison_wide(ds: DataFrame, participants: Sequence, scoring: Scoring | No
 
 
 def format_value(unit: Column, mean: Column, std: Column) -> Column:
-    """``mean ± std`` in the unit's precision, a dash without a mean."""
+    """``mean ± std`` in the unit's precision, a dash without a mean; rounded half up before it is shown."""
+    one, four = [F.round(c, 1) for c in (mean, std)], [F.round(c, 4) for c in (mean, std)]
     return (F.when(mean.isNull(), "—")
-            .when(unit == "ms", F.format_string("%.1f ± %.1f ms", mean, std))
-            .when(unit == "n", F.format_string("%.1f ± %.1f", mean, std))
-            .otherwise(F.format_string("%.4f ± %.4f", mean, std)))
+            .when(unit == "ms", F.format_string("%.1f ± %.1f ms", *one))
+            .when(unit == "n", F.format_string("%.1f ± %.1f", *one))
+            .otherwise(F.format_string("%.4f ± %.4f", *four)))
 
 
 def comparison_text(ds: DataFrame) -> DataFrame:

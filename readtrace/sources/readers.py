@@ -11,9 +11,14 @@ from readtrace.operators.slots import split_words
 from readtrace.params import Scoring
 
 
-def read_protocol(spark: SparkSession, path: str) -> DataFrame:
-    """Stimulus sentences in order, with their words."""
-    doc = spark.read.schema(sc.PROTOCOL).option("multiLine", True).json(path)
+def _documents(spark: SparkSession, schema, path: str, multi_line: bool):
+    """JSON documents: one per line, as the writers leave them, or one per file of another origin."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+def read_protocol(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Stimulus sentences in order, with their words; ``multi_line``: one document fills a file."""
+    doc = _documents(spark, sc.PROTOCOL, path, multi_line)
     return doc.select("version", F.posexplode("sentences").alias("sentence_index", "_s")).select(
         "version", "sentence_index", "_s.*", split_words(F.col("_s.text")).alias("words"))
 
@@ -97,22 +102,22 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {n: spark.read.schema(s).parquet(f"{root}/{n}") for n, s in sc.STORED_TABLES.items()}
 
 
-def read_export_json(spark: SparkSession, path: str) -> DataFrame:
-    """Session documents; ``session_id`` falls back to the file name."""
-    doc = spark.read.schema(sc.EXPORT_DOCUMENT).option("multiLine", True).json(path)
+def read_export_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Session documents; ``session_id`` falls back to the file name. ``multi_line``: one document fills a file."""
+    doc = _documents(spark, sc.EXPORT_DOCUMENT, path, multi_line)
     name = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_export\.json$", 1), F.lit(""))
     return doc.withColumn("session_id", F.coalesce("session_id", name))
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     reader = spark.read.schema(sc.DATASET)
     if fmt == "csv":
         return reader.option("header", True).csv(path)
-    return reader.option("multiLine", True).json(path)
+    return _documents(spark, sc.DATASET, path, multi_line)
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(sc.CALIBRATION).option("multiLine", True).json(path)
+def read_calibration(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return _documents(spark, sc.CALIBRATION, path, multi_line)
 
 
 def scoring_params(spark: SparkSession, scoring: Scoring | None = None) -> DataFrame:
