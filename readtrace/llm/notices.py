@@ -45,6 +45,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_TO_SPACE).split()
 
 
+def _near(places: list[int], k: int) -> Iterator[tuple[int, int]]:
+    """First and last of runs of places that reach over at most k, so that no stretch grows with the text."""
+    first = last = None
+    for p in places:
+        if first is not None and p - first > k:
+            yield first, last
+            first = None
+        first, last = p if first is None else first, p
+    if first is not None:
+        yield first, last
+
+
 class Scanner:
     """Automaton of seeds and compiled patterns; built once in each worker."""
 
@@ -66,39 +78,36 @@ class Scanner:
         """First word and label of every place of a phrase; joined has one space around every word."""
         found = []
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            word, before, at = 0, 0, joined.find(phrase)
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
-                at = joined.find(phrase, at + 1)
+                word += joined.count(b" ", before, at)
+                found.append((word, label))
+                before, at = at, joined.find(phrase, at + 1)
         return sorted(found)
 
     def fuzzy(self, line: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, label, edits, similarity) of notices in text of words and single spaces."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (size, own) in self.seeds.iter(line):
             for i, offset in own:
-                n, _, k, _ = self.notices[i]
-                start = end + 1 - size - offset
-                a, b = max(0, start - k - 1), min(len(line), start + len(n) + k + 1)
-                spans = windows.setdefault(i, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                    spans[-1][2] += size
-                else:
-                    spans.append([a, b, size])
-        found = []
-        for i, spans in windows.items():
+                starts.setdefault(i, set()).add(end + 1 - size - offset)
+        found = set()
+        for i, places in starts.items():
             n, label, k, pattern = self.notices[i]
-            for a, b, _ in spans:
+            for first, last in _near(sorted(places), k):
+                # k edits move a seed by k at most, so a match lies within; one that touches the end was cut.
+                a, b = max(0, first - k - 1), min(len(line), last + len(n) + k + 1)
                 for m in pattern.finditer(line, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((m.start(), m.end(), label, edits, 1 - edits / len(n)))
+                    if m.end() == len(line) or line[m.end()] == " ":
+                        edits = sum(m.fuzzy_counts)
+                        found.add((m.start(), m.end(), label, edits, 1 - edits / len(n)))
         # Of notices that overlap, the most similar one stands.
         kept: list[tuple] = []
         for m in sorted(found, key=lambda m: (-m[4], m[0] - m[1], m)):
-            if all(m[1] <= k[0] or m[0] >= k[1] for k in kept):
-                kept.append(m)
-        return sorted(kept)
+            at = bisect.bisect(kept, m)
+            if (at == 0 or kept[at - 1][1] <= m[0]) and (at == len(kept) or m[1] <= kept[at][0]):
+                kept.insert(at, m)
+        return kept
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)

@@ -237,6 +237,12 @@ def test_notices(session):
     assert [g[5] for g in got] == ["mit", "mit", "apache-2,cc-by-nc", "gpl-3", "", "", "cc-by-nc"]
     assert [g[1] for g in got] == [1, 0, 2, 0, 0, 0, 2] and got[6][2:4] == (0, 3) and got[2][2:4] == (0, 5)
     assert got[1][6] < 1 and got[1][7][0]["edits"] == 3
+    # Notices side by side: the exact one does not hide those around it, and many of them take no longer each.
+    near, exact = "relesed undr the mit licence", "released under the mit license"
+    spans = notices.Scanner().scan(" ".join([near, exact, near, near]))[7]
+    assert [(s["first_word"], s["last_word"], s["edits"]) for s in spans] == [(0, 4, 3), (5, 9, 0), (10, 14, 3), (15, 19, 3)]
+    many = notices.Scanner().scan(" ".join([near, "and"] * 3000))
+    assert len(many[7]) == 3000 and many[1] == 0
     assert notices.scanned(odd_docs(session)).count() == len(ODD) + 3
 
 
