@@ -105,8 +105,8 @@ class Chain:
             return 0.5, 0.0
         return float((self.marginals(rows) * sizes).sum() / sizes.sum()), float(np.log1p(sizes.sum()) - 6)
 
-    def score(self, rows: np.ndarray, sizes: np.ndarray) -> float:
-        bad, size = self.measures(rows, sizes)
+    def score(self, bad: float, size: float) -> float:
+        """Quality of a document from its ``measures``."""
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.gain[0] + self.gain[1] * _logit(bad) + self.gain[2] * size))))
 
 
@@ -239,7 +239,8 @@ def scored(docs: DataFrame, model: Chain, threshold: float = 0.7, id_col: str =
             out: tuple[list, ...] = ([], [], [])
             for text in batch["text"]:
                 rows, sizes = lines_of(text)
-                for column, v in zip(out, (m.score(rows, sizes), len(rows), m.measures(rows, sizes)[0]), strict=True):
+                found = m.measures(rows, sizes)
+                for column, v in zip(out, (m.score(*found), len(rows), found[0]), strict=True):
                     column.append(v)
             yield batch["doc_id"], *out
 
