@@ -4,7 +4,7 @@ Words become template words: numbers, and units that follow a number, turn into
 placeholders; in a second family capitalised words (names) do too. Windows of template
 words are hashed and joined with those of the benchmark, and the values behind the
 placeholders are compared: a re-parameterised question replaces each value of the item
-by one value throughout, so the slots must map consistently.
+by one value throughout one occurrence, so its slots must map consistently there.
 """
 
 from __future__ import annotations
@@ -14,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from readtrace.llm.common import BYTES, LONG, STRING, map_rows, stash, struct
 
 WINDOW = 8
 #: Windows with fewer words that are no placeholders say too little.
 LITERALS = 4
+#: Distances of hits this close are one occurrence of an item with a few words put in or left out.
+NEAR = 4
 #: Bits of the map of benchmark windows that documents are held against before the join.
 MAP_BITS = 1 << 26
 
@@ -137,9 +140,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it holds, literally or with other values.
 
-    ``coverage`` is the least share of an item's windows found in the document;
-    ``consistency`` the least share of the item's slot values that map to one value of the
-    document. Null and empty texts, null ids and items without ``LITERALS`` literal words
+    ``coverage`` is the least share of an item's windows found in one place (see
+    ``_places``); ``consistency`` the least share of the item's slot values that map to one
+    value there. The row tells of the place with the greatest coverage. Null and empty texts, null ids and items without ``LITERALS`` literal words
     match nothing; items shorter than a window are one window. Repeated rows count once;
     an empty table on either side gives an empty result.
     """
@@ -150,28 +153,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     found = _window_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
                          .where(F.col("doc_id").isNotNull()), "doc_id", sizes, bitmap)
-    of_item = items.select("item_id", "family", "hash", F.col("slots").alias("item_slots")).distinct()
-    total = items.groupBy("item_id", "family").agg(F.count_distinct("hash").alias("windows"))
-    hits = found.join(of_item, ["family", "hash"]).join(total, ["item_id", "family"])
-    hits = stash(hits, "template-hits")
-    # Slots: of each value behind the item's placeholders, the distinct values in the document.
-    pairs = (hits.select("doc_id", "item_id", "family", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-             .select("doc_id", "item_id", "family", "z.item_slots", "z.slots").distinct()
-             .groupBy("doc_id", "item_id", "family", "item_slots").agg(F.count("*").alias("n"), F.min("slots").alias("to")))
-    same = pairs.groupBy("doc_id", "item_id", "family").agg(
+    of_item = items.select("item_id", "family", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
+    total = items.groupBy("item_id", "family").agg(F.count_distinct("hash").alias("windows"), F.max("at").alias("last"))
+    hits = found.distinct().join(of_item, ["family", "hash"]).join(total, ["item_id", "family"])
+    hits = _places(stash(hits, "template-hits"))
+    # Slots: of each value behind the item's placeholders, the distinct values in the place.
+    place = ["doc_id", "item_id", "family", "place"]
+    pairs = (hits.select(*place, F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
+             .select(*place, "z.item_slots", "z.slots").distinct()
+             .groupBy(*place, "item_slots").agg(F.count("*").alias("n"), F.min("slots").alias("to")))
+    same = pairs.groupBy(*place).agg(
         F.avg((F.col("n") == 1).cast("double")).alias("consistent"),
         F.sum(((F.col("n") > 1) | (F.col("to") != F.col("item_slots"))).cast("long")).alias("replaced"))
-    held = (hits.groupBy("doc_id", "item_id", "family")
+    held = (hits.groupBy(*place)
             .agg(F.count_distinct("hash").alias("matched"), F.first("windows").alias("windows"), F.min("at").alias("first_word"))
-            .join(same, ["doc_id", "item_id", "family"], "left")
+            .join(same, place, "left")
             .withColumns({"coverage": F.col("matched") / F.col("windows"), "consistent": F.coalesce("consistent", F.lit(1.0)),
                           "replaced": F.coalesce("replaced", F.lit(0))})
             .where((F.col("coverage") >= coverage) & (F.col("consistent") >= consistency)))
-    best = F.struct(F.col("coverage"), -F.col("family"))
+    best = F.struct(F.col("coverage"), -F.col("family"), -F.col("replaced"), F.col("consistent"), -F.col("first_word"))
     return held.groupBy("doc_id", "item_id").agg(
         *[F.max_by(c, best).alias(c) for c in ("coverage", "matched", "windows", "consistent", "replaced", "first_word")])
 
 
+def _places(hits: DataFrame) -> DataFrame:
+    """Each hit once for every place that it belongs to, places being where an item may stand.
+
+    One occurrence of the item has one distance between places in the document and in the
+    item, or, with words put in or left out, several close ones. Places are thus one
+    distance, distances with gaps of at most ``NEAR`` words or half the item, and the whole
+    document: all of its hits, and those with the item's own values.
+    """
+    of = W.partitionBy("doc_id", "item_id", "family").orderBy("distance")
+    hits = hits.withColumn("distance", F.col("at") - F.col("item_at"))
+    hits = hits.withColumn("gap", F.col("distance") - F.lag("distance").over(of))
+
+    def near(most: Column) -> Column:
+        return F.coalesce(F.sum((F.col("gap") > most).cast("long")).over(of), F.lit(0))
+
+    hits = hits.withColumns({"near": near(F.lit(NEAR)), "half": near(F.greatest(F.lit(NEAR), (F.col("last") + WINDOW) / 2))})
+    zero = F.lit(0).cast("long")
+    places = [F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in enumerate(
+        (zero, F.col("distance"), F.col("near"), F.col("half")))]
+    literal = F.struct(F.lit(len(places)).alias("kind"), F.when(F.col("slots") == F.col("item_slots"), zero).alias("key"))
+    return (hits.withColumn("place", F.explode(F.array(*places, literal))).where("place.key is not null")
+            .drop("distance", "gap", "near", "half"))
+
+
 def _sizes(texts: DataFrame) -> list[int]:
     """The window lengths in use: WINDOW, and the word counts of shorter items."""
     def run(batches: Iterator[dict]) -> Iterator[tuple]:

@@ -230,6 +230,21 @@ def test_templates(session):
     assert templates.contaminated(odd_docs(session), bench).count() == 0
 
 
+def test_templates_by_occurrence(session):
+    train = "A train from Paris travels {} km in {} hours; how far does the same train travel in {} hours at that speed?"
+    weeks = "In week 1 the shop sold {} kg of fresh apples to people. In week 2 the shop sold {} kg of fresh apples to people."
+    bench = session.createDataFrame([(1, train.format(120, 2, 5)), (2, weeks.format(30, 45))], "item_id long, text string")
+    split = train.replace("how far", "so please tell me now how far")
+    docs = [(1, train.format(120, 2, 5) + " Or: " + train.format(300, 4, 9)),
+            (2, train.format(300, 4, 9) + " Or: " + train.format(70, 3, 8)),
+            (3, "Seen: " + weeks.format(30, 45)), (4, weeks.format(31, 77) + " And then. " + weeks.format(12, 13)),
+            (5, split.format(300, 4, 9) + " Or: " + split.format(70, 3, 8))]
+    table = session.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.replaced for r in templates.contaminated(table, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)}
+    assert got[1, 1] == got[3, 2] == 0 and got[2, 1] == got[5, 1] == 3 and got[4, 2] == 2
+
+
 def test_notices(session):
     texts = ["Released under the MIT License.", "relesed undr the MIT licence", "Apache-License, Version 2 and CC-BY-NC!",
              "licensed under the gnu general public license version 3", "a mitten under the table", None, "cc by nc cc by nc"]
