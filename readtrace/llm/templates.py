@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from readtrace.llm.common import BYTES, LONG, STRING, map_rows, stash, struct
+from readtrace.llm.common import BOOL, BYTES, LONG, STRING, map_rows, stash, struct
 
 WINDOW = 8
-#: Windows with fewer words that are no placeholders say too little.
+#: Windows with fewer words that are no placeholders say too little without their values.
 LITERALS = 4
+#: Consecutive words that are enough however long the item is; more where names are placeholders too.
+RUN = (13, 26)
 #: Distances of hits this close are one occurrence of an item with a few words put in or left out.
 NEAR = 4
 #: Bits of the map of benchmark windows that documents are held against before the join.
@@ -36,6 +38,11 @@ UNITS = frozenset((
 ))
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+#: Scripts written without spaces, where each letter is a word.
+_DENSE = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+          "\U00020000-\U0003ffff")
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_DENSE_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|(?![\W\d_])[{_DENSE}]|[^\W\d_{_DENSE}]+")
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh3_64_intdigest(p)) for p in ("<number>", "<unit>", "<name>"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,13 +59,20 @@ class _Ids(dict):
         return value
 
 
+def words_of(text: str | None) -> list[str]:
+    text = text or ""
+    dense = not text.isascii() and _HAS_DENSE.search(text)
+    return (_DENSE_TOKEN if dense else _TOKEN).findall(text)
+
+
 def template(text: str | None, ids: _Ids) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
-    """Words; ids of both families; and which words are placeholders in each."""
-    words = _TOKEN.findall(text or "")
+    """Words; ids of both families and of the words as they are; and which words are placeholders in each family."""
+    words = words_of(text)
     if not words:
-        return words, [np.empty(0, np.uint64)] * 2, [np.empty(0, bool)] * 2
+        return words, [np.empty(0, np.uint64)] * 3, [np.empty(0, bool)] * 2
     pairs = [ids[w] for w in words]
-    plain = np.array([p[0] for p in pairs], np.uint64)
+    raw = np.array([p[0] for p in pairs], np.uint64)
+    plain = raw.copy()
     kind = np.array([p[1] for p in pairs], np.int8)
     number = kind == 1
     unit = np.zeros(len(words), bool)
@@ -67,47 +81,66 @@ def template(text: str | None, ids: _Ids) -> tuple[list[str], list[np.ndarray],
     named = plain.copy()
     name = ((kind & 4) > 0) & ~unit
     named[name] = _NAME
-    return words, [plain, named], [number | unit, number | unit | name]
+    return words, [plain, named, raw], [number | unit, number | unit | name]
 
 
-def windows(ids: np.ndarray, slots: np.ndarray, size: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows that hold enough literal words."""
+def windows(ids: np.ndarray, slots: np.ndarray, raw: np.ndarray, size: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows, and which hold enough literal words; the others are hashed with their values."""
     n = len(ids) - size + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, bool)
     h = np.full(n, family * 1009 + size, np.uint64)
-    literal = np.zeros(n, np.int64)
     for i in range(size):
         h = (h ^ ids[i:i + n]) * _STEP
         h ^= h >> np.uint64(29)
-        literal += ~slots[i:i + n]
-    keep = np.flatnonzero(literal >= LITERALS)
-    return keep, h[keep]
+    filled = np.concatenate(([0], np.cumsum(slots)))
+    literal = size - (filled[size:] - filled[:-size]) >= LITERALS
+    few = np.flatnonzero(~literal)
+    if len(few):
+        e = np.full(len(few), family * 1009 + size + 500, np.uint64)
+        for i in range(size):
+            e = (e ^ raw[few + i]) * _STEP
+            e ^= e >> np.uint64(29)
+        h[few] = e
+    return h, literal
+
+
+def _alone(text: str) -> np.ndarray:
+    """Places of the words that are the only one of their line."""
+    counts = np.array([len(words_of(line)) for line in text.splitlines()], np.int64)
+    return (np.cumsum(counts) - counts)[counts == 1]
 
 
 def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, bitmap) -> DataFrame:
-    """(key, family, hash, at, slots) of windows; sizes None: each text's own, at most WINDOW."""
-    schema = struct((key, df.schema[key].dataType), ("family", LONG), ("hash", LONG), ("at", LONG), ("slots", T.ArrayType(STRING)))
+    """(key, family, hash, at, literal, slots) of windows; sizes None: each text's own, at most WINDOW.
+
+    An item of one word only counts in a document where the word is a line of its own.
+    """
+    schema = struct((key, df.schema[key].dataType), ("family", LONG), ("hash", LONG), ("at", LONG), ("literal", BOOL),
+                    ("slots", T.ArrayType(STRING)))
 
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
         ids = _Ids()
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for k, text in zip(batch[key], batch["text"], strict=True):
                 words, families, slots = template(text, ids)
                 for size in [min(WINDOW, len(words))] if sizes is None else sizes:
                     for f in (0, 1):
                         if size < 1 or f and not (slots[1] ^ slots[0]).any() and sizes is None:
                             continue
-                        at, h = windows(families[f], slots[f], size, f)
+                        h, literal = windows(families[f], slots[f], families[2], size, f)
+                        at = np.arange(len(h))
                         if bits is not None:
                             b = h & np.uint64(MAP_BITS - 1)
                             hit = np.flatnonzero(bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
-                            at, h = at[hit], h[hit]
-                        for a, value in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            if size == 1 and len(hit):
+                                hit = np.intersect1d(hit, _alone(text))
+                            at, h, literal = at[hit], h[hit], literal[hit]
+                        for a, value, enough in zip(at.tolist(), h.view(np.int64).tolist(), literal.tolist(), strict=True):
                             where = np.flatnonzero(slots[f][a:a + size]).tolist()
-                            for column, v in zip(out, (k, f, value, a, [words[a + i].lower() for i in where]), strict=True):
+                            for column, v in zip(out, (k, f, value, a, enough, [words[a + i].lower() for i in where]), strict=True):
                                 column.append(v)
             if out[0]:
                 yield out
@@ -142,8 +175,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
 
     ``coverage`` is the least share of an item's windows found in one place (see
     ``_places``); ``consistency`` the least share of the item's slot values that map to one
-    value there. The row tells of the place with the greatest coverage. Null and empty texts, null ids and items without ``LITERALS`` literal words
-    match nothing; items shorter than a window are one window. Repeated rows count once;
+    value there. The row tells of the place with the greatest coverage. Whatever its share,
+    a run of ``RUN`` consecutive consistent words is enough, and so is the whole item.
+    Windows with too few literal words only match with the same values and count for runs,
+    not for coverage, unless the item has no others. Null and empty texts and null ids match nothing; items shorter than a window are
+    one window, and those of one word match a line of their own. Repeated rows count once;
     an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
@@ -153,9 +189,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     found = _window_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
                          .where(F.col("doc_id").isNotNull()), "doc_id", sizes, bitmap)
-    of_item = items.select("item_id", "family", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
-    total = items.groupBy("item_id", "family").agg(F.count_distinct("hash").alias("windows"), F.max("at").alias("last"))
-    hits = found.distinct().join(of_item, ["family", "hash"]).join(total, ["item_id", "family"])
+    of_item = items.select("item_id", "family", "hash", "literal", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
+    total = items.groupBy("item_id", "family").agg(
+        F.count_distinct(F.when(F.col("literal"), F.col("hash"))).alias("windows"), F.count_distinct("hash").alias("all_windows"),
+        F.max("at").alias("last"))
+    hits = found.drop("literal").distinct().join(of_item, ["family", "hash"]).join(total, ["item_id", "family"])
     hits = _places(stash(hits, "template-hits"))
     # Slots: of each value behind the item's placeholders, the distinct values in the place.
     place = ["doc_id", "item_id", "family", "place"]
@@ -166,23 +204,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
         F.avg((F.col("n") == 1).cast("double")).alias("consistent"),
         F.sum(((F.col("n") > 1) | (F.col("to") != F.col("item_slots"))).cast("long")).alias("replaced"))
     held = (hits.groupBy(*place)
-            .agg(F.count_distinct("hash").alias("matched"), F.first("windows").alias("windows"), F.min("at").alias("first_word"))
+            .agg(F.count_distinct(F.when(F.col("literal") | (F.col("windows") == 0), F.col("hash"))).alias("matched"),
+                 F.first(F.when(F.col("windows") > 0, F.col("windows")).otherwise(F.col("all_windows"))).alias("windows"),
+                 F.first("windows").alias("eligible"), F.min("at").alias("first_word"))
             .join(same, place, "left")
             .withColumns({"coverage": F.col("matched") / F.col("windows"), "consistent": F.coalesce("consistent", F.lit(1.0)),
                           "replaced": F.coalesce("replaced", F.lit(0))})
-            .where((F.col("coverage") >= coverage) & (F.col("consistent") >= consistency)))
+            .where(((F.col("coverage") >= coverage) & (F.col("eligible") > 0) | (F.col("place.kind") == RUN_PLACE))
+                   & (F.col("consistent") >= consistency)))
     best = F.struct(F.col("coverage"), -F.col("family"), -F.col("replaced"), F.col("consistent"), -F.col("first_word"))
     return held.groupBy("doc_id", "item_id").agg(
         *[F.max_by(c, best).alias(c) for c in ("coverage", "matched", "windows", "consistent", "replaced", "first_word")])
 
 
+#: Kind of the places that are runs.
+RUN_PLACE = 5
+
+
 def _places(hits: DataFrame) -> DataFrame:
     """Each hit once for every place that it belongs to, places being where an item may stand.
 
     One occurrence of the item has one distance between places in the document and in the
     item, or, with words put in or left out, several close ones. Places are thus one
     distance, distances with gaps of at most ``NEAR`` words or half the item, and the whole
-    document: all of its hits, and those with the item's own values.
+    document: all of its hits, and those with the item's own values. Each stretch of
+    ``RUN`` words, or of the whole of a shorter item, inside consecutive windows is one too.
     """
     of = W.partitionBy("doc_id", "item_id", "family").orderBy("distance")
     hits = hits.withColumn("distance", F.col("at") - F.col("item_at"))
@@ -192,21 +238,33 @@ def _places(hits: DataFrame) -> DataFrame:
         return F.coalesce(F.sum((F.col("gap") > most).cast("long")).over(of), F.lit(0))
 
     hits = hits.withColumns({"near": near(F.lit(NEAR)), "half": near(F.greatest(F.lit(NEAR), (F.col("last") + WINDOW) / 2))})
+    # Hits of one distance at consecutive places are a run.
+    line = ["doc_id", "item_id", "family", "distance"]
+    hits = hits.withColumn("run", F.col("item_at") - F.dense_rank().over(W.partitionBy(*line).orderBy("item_at")))
+    run = W.partitionBy(*line, "run")
+    hits = hits.withColumns({"first": F.min("item_at").over(run), "end": F.max("item_at").over(run),
+                             "need": F.least(F.when(F.col("family") == 0, RUN[0]).otherwise(RUN[1]) - WINDOW + 1, F.col("last") + 1)})
+    starts = F.when(F.col("end") - F.col("first") + 1 >= F.col("need"), F.sequence(
+        F.greatest(F.col("first"), F.col("item_at") - F.col("need") + 1), F.least(F.col("item_at"), F.col("end") - F.col("need") + 1)))
     zero = F.lit(0).cast("long")
-    places = [F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in enumerate(
-        (zero, F.col("distance"), F.col("near"), F.col("half")))]
-    literal = F.struct(F.lit(len(places)).alias("kind"), F.when(F.col("slots") == F.col("item_slots"), zero).alias("key"))
-    return (hits.withColumn("place", F.explode(F.array(*places, literal))).where("place.key is not null")
-            .drop("distance", "gap", "near", "half"))
+
+    def place(kind: int, key: Column, start: Column = zero) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), start.alias("start"))
+
+    places = F.array(place(0, zero), place(1, F.col("distance")), place(2, F.col("near")), place(3, F.col("half")),
+                     place(4, F.when(F.col("slots") == F.col("item_slots"), zero)))
+    runs = F.transform(F.coalesce(starts, F.array().cast("array<long>")), lambda s: place(RUN_PLACE, F.col("distance"), s))
+    return (hits.withColumn("place", F.explode(F.concat(places, runs))).where("place.key is not null")
+            .drop(*line[3:], "gap", "near", "half", "run", "first", "end", "need", "last"))
 
 
 def _sizes(texts: DataFrame) -> list[int]:
     """The window lengths in use: WINDOW, and the word counts of shorter items."""
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
         for batch in batches:
-            yield [min(WINDOW, len(_TOKEN.findall(t or ""))) for t in batch["text"]],
+            yield [min(WINDOW, len(words_of(t))) for t in batch["text"]],
 
     return sorted(r.size for r in map_rows(texts, run, struct(("size", LONG))).distinct().collect() if r.size)  # WINDOW values at most
 
 
-__all__ = ["contaminated", "template", "windows"]
+__all__ = ["contaminated", "template", "windows", "words_of"]

@@ -245,6 +245,22 @@ def test_templates_by_occurrence(session):
     assert got[1, 1] == got[3, 2] == 0 and got[2, 1] == got[5, 1] == 3 and got[4, 2] == 2
 
 
+def test_templates_short_items_and_runs(session):
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400))
+    named = "Every day Anna and Bert walk with Carl to see Dora while old Emil and young Fritz stay at home with Greta " * 2
+    items = [(1, "What is 12 kg plus 7 kg?"), (2, "Who discovered penicillin?"), (3, "小明有三个苹果，他吃了一个。"), (4, long), (5, "ok"),
+             (6, "1 + 2 + 3 + 4 + 5 + 6 + 7 + 9 + 11"), (7, named + long.replace("word", "term"))]
+    part = long.split()
+    docs = [(1, "Quiz: what is 12 kg plus 7 kg? Easy."), (2, "What is 12 kg plus 8 kg? And who discovered gravity?"),
+            (3, "they asked who discovered penicillin and left"), (4, "问题小明有三个苹果，他吃了一个。答案"), (5, "小明有三个苹果"),
+            (6, "so " + " ".join(part[100:113]) + " then"), (7, "so " + " ".join(part[100:112]) + " then"), (8, "fine\n ok.\nbye"), (9, "all is ok"),
+            (10, "1 2 3 4 5 6 7 9 11"), (11, "1 2 3 4 5 6 7 9 12"),
+            (12, named.replace("Anna", "Zoe").replace("Bert", "Yan").replace("Carl", "Xaver"))]
+    got = templates.contaminated(session.createDataFrame(docs, "doc_id long, text string"),
+                                 session.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (4, 3), (6, 4), (8, 5), (10, 6), (12, 7)}
+
+
 def test_notices(session):
     texts = ["Released under the MIT License.", "relesed undr the MIT licence", "Apache-License, Version 2 and CC-BY-NC!",
              "licensed under the gnu general public license version 3", "a mitten under the table", None, "cc by nc cc by nc"]
