@@ -3,7 +3,9 @@
 A huge text is encoded in overlapping chunks with offsets. Two neighbours are spliced
 where both have a token boundary that is proven stable: no piece of the vocabulary
 holds the two characters around it, so no merge can cross it whatever stands beside.
-Where the overlap has no such place it is widened, in the end to the whole text.
+Where the overlap has no such place it is widened, in the end to the whole text. A chunk
+starts before the last splice, so that the prefix which the library puts before every
+text stands beside no token that counts.
 """
 
 from __future__ import annotations
@@ -58,13 +60,14 @@ class Counter:
         while end < len(text):
             overlap = self.overlap
             while True:
-                begin, after = max(cut, end - overlap), min(len(text), max(end - overlap, cut) + overlap + self.chunk)
-                following = self.boundaries(text, begin, after)
-                common = set(following).intersection(t for t in tokens if begin < t < end)
+                first, after = max(cut, end - overlap), min(len(text), max(end - overlap, cut) + overlap + self.chunk)
+                begin = first - (first == cut > 0)  # the splice at cut is stable, so one character before it is enough
+                following = [t for t in self.boundaries(text, begin, after) if t >= first]
+                common = set(following).intersection(t for t in tokens if first < t < end)
                 at = max((p for p in common if self.stable(text[p - 1], text[p])), default=None)
-                if at is not None or after == len(text) and begin == cut:
+                if at is not None or after == len(text) and first == cut:
                     break
-                if begin == cut:  # nothing stable in the whole chunk: a longer chunk takes its place
+                if first == cut:  # nothing stable in the whole chunk: a longer chunk takes its place
                     end, tokens = after, following
                 self.widened += 1
                 overlap *= 2

@@ -88,6 +88,17 @@ def test_spliced_token_counts(session):
     assert token_counts.counted(odd_docs(session, []), path).count() == 0
 
 
+def test_spliced_runs_inside_words():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    whole = sentencepiece.SentencePieceProcessor(model_file=path)
+    small = token_counts.Counter(path, chunk=200, overlap=8)
+    for c in ["a", "A", "=", "-", " ", "的", "ab", "\n", "é"]:
+        for before in (1, 25, 26, 27, 40, 61):
+            for run in (450, 1000, 1003):
+                text = "some words " * before + c * run + " and more words" * 30
+                assert small.counts([text]) == [len(whole.encode(text))], (c, before, run)
+
+
 def test_mix(session):
     docs = odd_docs(session)
     rows = curriculum.mixed(docs).collect()
