@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +66,39 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], sch
                    for batch in batches)
         for out in fn(columns):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """A map of ``bits`` bits (a power of two, 4096 at least) with one bit set for every value of the column ``hash``."""
+    def run(batches: Iterator[dict]) -> Iterator[tuple]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            b = np.array(batch["hash"], np.int64) & (bits - 1)
+            order = np.sort(b)
+            blocks, starts = np.unique(order >> 12, return_index=True)
+            for block, part in zip(blocks.tolist(), np.split(order & 4095, starts[1:]), strict=True):
+                seen.setdefault(block, np.zeros(4096, bool))[part] = True
+        if seen:
+            yield list(seen), [np.packbits(v, bitorder="little").tobytes() for v in seen.values()]
+
+    block = F.shiftright(F.col("hash").bitwiseAND(F.lit(bits - 1)), 12)
+    out = np.zeros(bits // 8, np.uint8)
+    parts = map_rows(hashes.select("hash").repartition(block), run, struct(("block", LONG), ("bits", BYTES)))
+    for row in parts.toLocalIterator():  # bits / 8 bytes in all
+        at = row.block * 512
+        out[at:at + 512] |= np.frombuffer(row.bits, np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (uint64) is set."""
+    b = hashes & np.uint64(len(held) * 8 - 1)
+    return (held[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """Rows, with all their columns, for which ``keep()`` says true of a list of one column's values."""
     at = df.columns.index(column)
