@@ -48,6 +48,13 @@ def stash(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Give back the space of a stash that nothing reads any more; the empty table stays."""
+    spark, path = df.sparkSession, df.inputFiles()
+    if path:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path[0].rpartition("/")[0])
+
+
 def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows at most, picked by a hash of the key; all where there are fewer."""
     rows = df.count()
@@ -76,17 +83,17 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            b = np.array(batch["hash"], np.int64) & (bits - 1)
-            order = np.sort(b)
+            order = np.sort(np.array(batch["hash"], np.int32))
             blocks, starts = np.unique(order >> 12, return_index=True)
             for block, part in zip(blocks.tolist(), np.split(order & 4095, starts[1:]), strict=True):
                 seen.setdefault(block, np.zeros(4096, bool))[part] = True
         if seen:
             yield list(seen), [np.packbits(v, bitorder="little").tobytes() for v in seen.values()]
 
-    block = F.shiftright(F.col("hash").bitwiseAND(F.lit(bits - 1)), 12)
+    # Only the bits in use travel, as an int: a map has 2 ** 31 bits at most.
+    place = hashes.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).cast("int").alias("hash"))
     out = np.zeros(bits // 8, np.uint8)
-    parts = map_rows(hashes.select("hash").repartition(block), run, struct(("block", LONG), ("bits", BYTES)))
+    parts = map_rows(place.repartition(F.shiftright("hash", 12)), run, struct(("block", LONG), ("bits", BYTES)))
     for row in parts.toLocalIterator():  # bits / 8 bytes in all
         at = row.block * 512
         out[at:at + 512] |= np.frombuffer(row.bits, np.uint8)

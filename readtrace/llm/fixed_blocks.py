@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from readtrace.llm.common import LONG, STRING, bitmap, in_bitmap, map_rows, stash, struct
+from readtrace.llm.common import LONG, STRING, bitmap, dropped, in_bitmap, map_rows, stash, struct
+from readtrace.llm.word_hash import Base, word_hashes
 
 WINDOW = 20
 #: Bits of a map for each value in it, and the most of a map (64 MB).
@@ -36,16 +36,6 @@ _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 4, dtype=np.uint64)
 _SPACES = frozenset(" \t\n\r\x0b\x0c")
 
 
-class _Ids(dict):
-    """64-bit hash of a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) <= 64:
-            self[word] = value
-        return value
-
-
 def words(text: str | None) -> Iterator[list[bytes]]:
     """Words of a text, some at a time: long texts are cut at white space."""
     text = text or ""
@@ -58,16 +48,6 @@ def words(text: str | None) -> Iterator[list[bytes]]:
         a = b
 
 
-def _ids(texts: list, cache: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts, one after another, and the number of words of each."""
-    parts, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        for found in words(text):
-            parts.append(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)))
-            counts[i] += len(found)
-    return np.concatenate(parts), counts
-
-
 def _pair(a: np.ndarray, b: np.ndarray, chain: int) -> np.ndarray:
     h = (a ^ (a >> np.uint64(31))) * _ODD[chain] + b
     h ^= h >> np.uint64(29)
@@ -94,8 +74,9 @@ def rolling(ids: np.ndarray, size: int, chain: int = 0) -> np.ndarray:
 class _Steps:
     """Positions of a batch of texts in steps of bounded size: block hashes, and whose position it is."""
 
-    def __init__(self, texts: list, cache: _Ids, window: int):
-        self.ids, self.counts = _ids(texts, cache)
+    def __init__(self, texts: list, bases: list[Base], window: int):
+        self.chains, self.counts = word_hashes(texts, bases)
+        self.ids = self.chains[0]
         self.window, self.block = window, window // 2
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
@@ -130,9 +111,9 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def _blocks(docs: DataFrame, window: int) -> DataFrame:
     """Hashes of the aligned blocks of all documents."""
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
-        cache = _Ids()
+        bases = [Base(0)]
         for b in batches:
-            for _, n, h, whole, aligned in _Steps(b["text"], cache, window):
+            for _, n, h, whole, aligned in _Steps(b["text"], bases, window):
                 yield _signed(np.unique(h[:n][(whole & aligned)[:n]])),
 
     return map_rows(docs.select("text"), run, struct(("hash", LONG)))
@@ -141,9 +122,9 @@ def _blocks(docs: DataFrame, window: int) -> DataFrame:
 def _probes(docs: DataFrame, window: int, index) -> DataFrame:
     """(hash, n): rolling windows that may be blocks, counted by step."""
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
-        cache, held = _Ids(), np.frombuffer(index.value, np.uint8)
+        bases, held = [Base(0)], np.frombuffer(index.value, np.uint8)
         for b in batches:
-            for _, n, h, whole, _ in _Steps(b["text"], cache, window):
+            for _, n, h, whole, _ in _Steps(b["text"], bases, window):
                 h = h[:n][whole[:n]]
                 values, times = np.unique(h[in_bitmap(held, h)], return_counts=True)
                 yield _signed(values), times.astype(np.int64)
@@ -152,31 +133,32 @@ def _probes(docs: DataFrame, window: int, index) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, anchors) -> DataFrame:
-    """(doc_id, at, a, b): whole windows about anchors with a 128-bit hash."""
+    """(doc_id, at, a, b): whole windows about anchors with 96 bits of two independent hashes."""
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
-        cache, held = _Ids(), np.frombuffer(anchors.value, np.uint8)
+        bases, held = [Base(0), Base(1)], np.frombuffer(anchors.value, np.uint8)
         for b in batches:
-            steps, keys = _Steps(b["text"], cache, window), pa.array(b["doc_id"], arrow)
+            steps, keys = _Steps(b["text"], bases, window), pa.array(b["doc_id"], arrow)
             for own in steps.candidates(held):
                 if len(own):
                     lo = own[0]
-                    part = steps.ids[lo:own[-1] + window]
-                    yield (keys.take(pa.array(steps.doc[own])), steps.at[own].astype(np.int32),
-                           *(_signed(rolling(part, window, chain)[own - lo]) for chain in (0, 1)))
+                    a, b = (rolling(ids[lo:own[-1] + window], window, i)[own - lo] for i, ids in enumerate(steps.chains))
+                    yield keys.take(pa.array(steps.doc[own])), steps.at[own].astype(np.int32), _signed(a), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    return map_rows(docs, run, struct(("doc_id", kind), ("at", T.IntegerType()), ("a", LONG), ("b", LONG)))
+    return map_rows(docs, run, struct(("doc_id", kind), ("at", T.IntegerType()), ("a", LONG), ("b", T.IntegerType())))
 
 
 def _map_of(hashes: DataFrame, most: int):
-    """The bitmap of a written table of hashes, broadcast; ``most`` bits at most."""
+    """The bitmap of a written table of hashes, broadcast; ``most`` bits at most. The table is dropped."""
     bits = 1 << 12
     wanted = min(most, BITS_EACH * hashes.count())
     while bits < wanted:
         bits *= 2
-    return hashes.sparkSession.sparkContext.broadcast(bitmap(hashes, bits))
+    held = bitmap(hashes, bits)
+    dropped(hashes)
+    return hashes.sparkSession.sparkContext.broadcast(held)
 
 
 _SPANS = T.ArrayType(struct(("first_word", LONG), ("last_word", LONG)))
@@ -199,13 +181,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # The earliest place of every window about an anchor; all its other places are repeats.
     first = (_windows(docs, window, anchors).groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("m"))
              .groupBy("m.doc_id").agg(F.collect_set("m.at").alias("first")))
-    first = stash(first.select(F.col("doc_id").alias("id"), "first"), "first-places")
+    first = first.select(F.col("doc_id").alias("id"), "first")
     schema = struct(("doc_id", docs.schema["doc_id"].dataType), ("n_words", LONG), ("n_removed", LONG), ("kept_sha256", STRING), ("repeats", _SPANS))
 
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
-        cache, held = _Ids(), np.frombuffer(anchors.value, np.uint8)
+        bases, held = [Base(0)], np.frombuffer(anchors.value, np.uint8)
         for b in batches:
-            steps = _Steps(b["text"], cache, window)
+            steps = _Steps(b["text"], bases, window)
             again = np.zeros(len(steps.ids) + 1, np.int8)
             for own in steps.candidates(held):
                 again[own] = 1
@@ -230,10 +212,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 def _rest(text: str | None, gone: np.ndarray) -> tuple[int, str, list[dict]]:
     """Number of removed words, digest of the others, and the spans removed."""
     sha, at, any_yet = hashlib.sha256(), 0, False
+    if not len(gone):
+        return 0, sha.hexdigest(), []
+    some = bool(gone.any())
     for found in words(text):
-        here = gone[at:at + len(found)]
-        at += len(found)
-        if here.any():
+        if some:
+            here = gone[at:at + len(found)]
+            at += len(found)
             found = [w for w, g in zip(found, here.tolist(), strict=True) if not g]
         if found:
             sha.update((b" " if any_yet else b"") + b" ".join(found))

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from readtrace.llm import audit_repair, fixed_blocks, queries, spelling
+from readtrace.llm import audit_repair, fixed_blocks, queries, spelling, word_hash
 from readtrace.llm.common import prepared
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -77,8 +77,7 @@ def test_steps_of_long_texts(monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab \né") for _ in range(n)) for n in (0, 5, 40, 300)]
     assert [sum(fixed_blocks.words(t), []) for t in texts] == [t.encode().split() for t in texts]
-    cache = fixed_blocks._Ids()
-    whole = fixed_blocks._Steps(texts, cache, 6)
+    whole = fixed_blocks._Steps(texts, [fixed_blocks.Base(0)], 6)
     anchors = [h[w & a] for _, n, h, w, a in whole]
     held = fixed_blocks.np.zeros(1 << 9, fixed_blocks.np.uint8)
     for h in anchors[0].tolist()[::2]:
@@ -96,6 +95,23 @@ def test_steps_of_long_texts(monkeypatch):
         assert all(len(s) == 1 for s in same.values()) and len(same) == len({tuple(whole.ids[i:i + size].tolist()) for i in range(len(h))})
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcé日") for _ in range(n)) for n in (*range(1, 40), 22, 64, 65, 66, 200, 5000)]
+    texts = [None, "", " ", *(rng.choice(" \n\t").join(rng.choices(vocabulary, k=rng.randint(0, 300))) for _ in range(40)), "é" * 9000 + " a " + "b" * 7000]
+    bases = [word_hash.Base(0), word_hash.Base(1)]
+    (a, b), counts = word_hash.word_hashes(texts, bases)
+    every = [w for t in texts for w in words_of(t)]
+    assert counts.tolist() == [len(words_of(t)) for t in texts] and len(a) == len(b) == len(every)
+    for h in (a, b):
+        known = dict(zip(every, h.tolist(), strict=True))
+        assert [known[w] for w in every] == h.tolist() and len(set(known.values())) == len(known)
+    assert (a != b).all()
+    monkeypatch.setattr(word_hash, "STRETCH", 100)
+    (again, _), counts_again = word_hash.word_hashes(texts, bases)
+    assert again.tolist() == a.tolist() and counts_again.tolist() == counts.tolist()
+
+
 # ---- spelling
 
 
