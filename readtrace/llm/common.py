@@ -94,7 +94,7 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     place = hashes.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).cast("int").alias("hash"))
     out = np.zeros(bits // 8, np.uint8)
     parts = map_rows(place.repartition(F.shiftright("hash", 12)), run, struct(("block", LONG), ("bits", BYTES)))
-    for row in parts.toLocalIterator():  # bits / 8 bytes in all
+    for row in parts.collect():  # bits / 8 bytes in all
         at = row.block * 512
         out[at:at + 512] |= np.frombuffer(row.bits, np.uint8)
     return out.tobytes()
