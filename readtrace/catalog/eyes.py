@@ -225,18 +225,54 @@ def w_dwell_regression(spark, d):
         "session_id", "word_index", "start_ns"))
 
 
-@query("w_dwell_fixation")
+#: Samples by number, for rules that go from one to the next.
+_STEPS = f"WITH RECURSIVE {SAMPLES}, numbered AS (SELECT *, row_number() {_W} AS n FROM samples)"
+
+_DWELL_EXACT = f"""{_STEPS},
+walk AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS word, CAST(NULL AS BIGINT) AS since, CAST([] AS INT[]) AS reported,
+    CAST(NULL AS INT) AS last, CAST(NULL AS BIGINT) AS confirmed, FALSE AS back FROM (SELECT DISTINCT session_id FROM samples)
+  UNION ALL SELECT session_id, n, seen, CASE WHEN changes THEN ts_ns ELSE since END,
+    CASE WHEN changes AND seen < last THEN list_filter(reported, lambda v: v <> seen) WHEN shown THEN list_append(reported, seen) ELSE reported END,
+    CASE WHEN shown THEN seen ELSE last END, CASE WHEN shown THEN ts_ns END, shown AND coalesce(seen < last, FALSE)
+  FROM (SELECT w.* EXCLUDE (n, back, confirmed), s.n, s.ts_ns, s.word_index AS seen, s.word_index IS DISTINCT FROM w.word AS changes,
+      s.word_index IS NOT NULL AND s.word_index IS NOT DISTINCT FROM w.word AND s.ts_ns - w.since >= 150000000
+      AND NOT list_contains(w.reported, s.word_index) AS shown
+    FROM walk w JOIN numbered s ON s.session_id = w.session_id AND s.n = w.n + 1))"""
+
+
+@query("w_dwell_fixation", f"""{_DWELL_EXACT} SELECT session_id, CAST(word AS BIGINT) AS word_index, since AS start_ns, confirmed AS confirmed_ns,
+  {r('(confirmed - since) / 1e6')} AS duration_ms, back AS regression FROM walk WHERE confirmed IS NOT NULL""")
 def w_dwell_fixation(spark, d):
-    """The exact rule depends on its own earlier output, which SQL windows cannot say."""
+    """The exact rule: its own earlier output decides, so the SQL goes from sample to sample."""
     return rounded(gz.dwell_fixations(warehouse.samples(spark, d)))
 
 
-@query("w_idt_fixation")
+_IDT = f"""{_STEPS},
+grow AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(t BIGINT, x DOUBLE, y DOUBLE)[]) AS held, CAST(NULL AS BIGINT) AS onset,
+    CAST(NULL AS INT) AS word, CAST(NULL AS STRUCT(word INT, onset BIGINT, rest STRUCT(t BIGINT, x DOUBLE, y DOUBLE)[])) AS done
+    FROM (SELECT DISTINCT session_id FROM samples)
+  UNION ALL SELECT session_id, n, CASE WHEN len(held) >= 3 AND NOT inside THEN [] ELSE held END,
+    CASE WHEN len(held) < 3 THEN onset WHEN inside THEN coalesce(onset, held[1].t) END,
+    CASE WHEN len(held) < 3 THEN word WHEN inside THEN CASE WHEN onset IS NULL THEN seen ELSE word END END,
+    CASE WHEN len(held) >= 3 AND NOT inside AND onset IS NOT NULL AND held[-2].t > onset THEN {{'word': word, 'onset': onset, 'rest': held[:-2]}} END
+  FROM (SELECT *, seen IS NOT NULL AND sqrt(power(list_max(list_transform(held, lambda p: p.x)) - list_min(list_transform(held, lambda p: p.x)), 2)
+      + power(list_max(list_transform(held, lambda p: p.y)) - list_min(list_transform(held, lambda p: p.y)), 2)) <= 60 AS inside
+    FROM (SELECT g.session_id, s.n, list_append(g.held, {{'t': s.ts_ns, 'x': s.x, 'y': s.y}}) AS held, g.onset, g.word, s.word_index AS seen
+      FROM grow g JOIN numbered s ON s.session_id = g.session_id AND s.n = g.n + 1))),
+fixations AS (SELECT session_id, CAST(done.word AS BIGINT) AS word_index, done.onset AS onset_ns, done.rest[-1].t AS offset_ns,
+    {r('(done.rest[-1].t - done.onset) / 1e6')} AS duration_ms, {r('list_avg(list_transform(done.rest, lambda p: p.x))')} AS centroid_x,
+    {r('list_avg(list_transform(done.rest, lambda p: p.y))')} AS centroid_y, CAST(len(done.rest) AS BIGINT) AS sample_count
+    FROM grow WHERE done IS NOT NULL)"""
+
+
+@query("w_idt_fixation", f"{_IDT} SELECT * FROM fixations")
 def w_idt_fixation(spark, d):
     return rounded(gz.idt_fixations(warehouse.samples(spark, d), max_dispersion=60.0))
 
 
-@query("w_idt_regression")
+@query("w_idt_regression", f"""{_IDT} SELECT session_id, before AS from_word_idx, word_index AS to_word_idx, offset_ns AS saccade_ts_ns,
+  CAST(before - word_index AS DOUBLE) AS amplitude_px
+  FROM (SELECT *, lag(word_index) OVER (PARTITION BY session_id ORDER BY onset_ns) AS before FROM fixations) WHERE before - word_index >= 1""")
 def w_idt_regression(spark, d):
     return rounded(gz.idt_regressions(gz.idt_fixations(warehouse.samples(spark, d), max_dispersion=60.0)))
 

@@ -208,7 +208,19 @@ def _advances(spark, d):
     return warehouse.samples(spark, d).select("session_id", "ts_ns", F.col("sample_id").alias("event_id"), "event_type", "k")
 
 
-@query("st_lifecycle")
+_ADVANCES = """advances AS (SELECT user_id AS session_id, event_id, epoch_us(ts) // 360 AS ts_ns,
+  CAST(json_extract_string(props, '$.k') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 360, event_id) AS n FROM events)"""
+_MOVED = ", ".join(f"('{a}', '{e}', '{b}')" for a, e, b in lc.MOVES)
+_EVENTS = ", ".join(f"'{e}'" for _, e, _ in lc.MOVES)
+
+
+@query("st_lifecycle", f"""WITH RECURSIVE {_ADVANCES}, moves(a, e, b) AS (VALUES {_MOVED}),
+named AS (SELECT *, ([{_EVENTS}])[k % {len(lc.MOVES)} + 1] AS event FROM advances),
+walk AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ts_ns, '' AS event, '' AS from_state, 'IDLE' AS to_state, FALSE AS performed
+    FROM (SELECT DISTINCT session_id FROM named)
+  UNION ALL SELECT w.session_id, s.n, s.ts_ns, s.event, w.to_state, coalesce(m.b, w.to_state), m.b IS NOT NULL
+  FROM walk w JOIN named s ON s.session_id = w.session_id AND s.n = w.n + 1 LEFT JOIN moves m ON m.a = w.to_state AND m.e = s.event)
+SELECT * EXCLUDE (n) FROM walk WHERE n > 0""")
 def st_lifecycle(spark, d):
     """State after an ignored event depends on all events before it."""
     names = [event for _, event, _ in lc.MOVES]
@@ -217,7 +229,12 @@ def st_lifecycle(spark, d):
     return rounded(lc.lifecycle_history(events.select("session_id", "ts_ns", "event_id", "event")))
 
 
-@query("w_debounce")
+@query("w_debounce", f"""WITH RECURSIVE {_ADVANCES},
+walk AS (SELECT session_id, ts_ns, event_id FROM advances WHERE n = 1
+  UNION ALL SELECT session_id, next.ts_ns, next.event_id FROM (
+    SELECT w.session_id, min({{'ts_ns': a.ts_ns, 'event_id': a.event_id}}) AS next FROM walk w
+    JOIN advances a ON a.session_id = w.session_id AND a.ts_ns - w.ts_ns >= 600000000 GROUP BY w.session_id))
+SELECT * FROM walk""")
 def w_debounce(spark, d):
     """A kept advance restarts the clock, so each decision needs the one before."""
     return rounded(lc.debounced(_advances(spark, d).select("session_id", "ts_ns", "event_id")))

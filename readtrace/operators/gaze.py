@@ -2,24 +2,22 @@
 
 Samples have ``session_id`` (plus any further keys), ``ts_ns`` and an id that
 breaks ties.  Windows go through ``OrderedFrame`` and path-dependent rules
-through ``ordered_scan``, so one very long recording is still cut into chunks.
+through ``fixations``, so one very long recording is still cut into chunks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readtrace.functions.landmarks import head_pose_message
+from readtrace.operators.fixations import SESSION, TIME, dwell_fixations, idt_fixations, idt_regressions
 from readtrace.operators.ordered import TARGET_ROWS, OrderedFrame
-from readtrace.operators.scan import ordered_scan
 
-SESSION = ("session_id",)
-TIME = ("ts_ns", "sample_id")
+__all__ = ["blinks", "dwell_fixations", "dwell_islands", "eye_features", "head_pose", "idt_fixations", "idt_regressions", "smooth_gaze",
+           "velocity_fixations", "velocity_steps", "words_under_gaze"]
 
 
 def _mean(values: Column) -> Column:
@@ -59,11 +57,11 @@ def head_pose(frames: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``frames`` has ``yaw`` (NULL where the distance is unusable) and ``ied``.
     """
     keys, order = list(keys), list(order)
-    yaws = (OrderedFrame(frames.filter(F.col("yaw").isNotNull()), keys, order, target_rows=target_rows)
+    whole = OrderedFrame(frames, keys, order, target_rows=target_rows)
+    yaws = (OrderedFrame(frames.filter(F.col("yaw").isNotNull()), keys, order, within=whole)
             .trailing("_y", F.col("yaw"), 10).df
             .select(*keys, *order, _mean(F.col("_y")).alias("_yaw")))
-    every = (OrderedFrame(frames.join(yaws, keys + order, "left"), keys, order,
-                          target_rows=target_rows, measure=frames)
+    every = (OrderedFrame(frames.join(yaws, keys + order, "left"), keys, order, within=whole)
              .last_known("mean_yaw", F.col("_yaw")).trailing("_d", F.col("ied"), 10))
     return (every.df.withColumn("mean_distance", _mean(F.col("_d")))
             .withColumn("message", head_pose_message(F.col("mean_yaw"), F.col("mean_distance")))
@@ -98,116 +96,12 @@ def dwell_islands(samples: DataFrame, keys: Sequence[str] = SESSION, order: Sequ
     fix = runs.select(*keys, "_run", "word_index", F.col("_start").alias("start_ns"),
                       F.col("_confirmed").alias("confirmed_ns"),
                       ((end - F.col("_start")) / 1e6).alias("duration_ms"))
-    fix = OrderedFrame(fix, keys, ["start_ns"], target_rows=target_rows).lag({"_prev": "word_index"}).df
+    # No more fixations than samples: a key whose samples are few needs no second look.
+    fix = OrderedFrame(fix, keys, ["start_ns"], target_rows=target_rows, within=None if frame.split else frame).lag({"_prev": "word_index"}).df
     return fix.withColumn("regression", F.coalesce(F.col("word_index") < F.col("_prev"), F.lit(False))
                           ).drop("_prev", "_run")
 
 
-DWELL = T.StructType([
-    T.StructField("word_index", T.IntegerType()), T.StructField("start_ns", T.LongType()),
-    T.StructField("confirmed_ns", T.LongType()), T.StructField("duration_ms", T.DoubleType()),
-    T.StructField("regression", T.BooleanType())])
-
-
-class Dwell:
-    """Step of the exact dwell rule: a word is reported once, and again only
-    after the eye moved back to it."""
-
-    def __init__(self, min_ms: float = 150.0):
-        self.need = int(min_ms * 1e6)
-
-    @staticmethod
-    def start() -> dict:
-        return {"word": None, "since": None, "reported": set(), "last": None}
-
-    def __call__(self, s: dict, row: tuple) -> list[tuple]:
-        ts, word = row
-        if word != s["word"]:
-            if word is not None and s["last"] is not None and word < s["last"]:
-                s["reported"].discard(word)
-            s["word"], s["since"] = word, ts
-            return []
-        if word is None or ts - s["since"] < self.need or word in s["reported"]:
-            return []
-        back = s["last"] is not None and word < s["last"]
-        s["reported"].add(word)
-        s["last"] = word
-        return [(word, s["since"], ts, (ts - s["since"]) / 1e6, back)]
-
-
-def dwell_fixations(samples: DataFrame, keys: Sequence[str] = SESSION, order: Sequence[str] = TIME,
-                    min_ms: float = 150.0, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Dwell fixations with the exact rule for re-visited words."""
-    return ordered_scan(samples, keys, order, Dwell.start, Dwell(min_ms), DWELL,
-                        inputs=[order[0], "word_index"], target_rows=target_rows)
-
-
-IDT = T.StructType([
-    T.StructField("word_index", T.IntegerType()), T.StructField("onset_ns", T.LongType()),
-    T.StructField("offset_ns", T.LongType()), T.StructField("duration_ms", T.DoubleType()),
-    T.StructField("centroid_x", T.DoubleType()), T.StructField("centroid_y", T.DoubleType()),
-    T.StructField("sample_count", T.IntegerType())])
-
-
-class Idt:
-    """Step of dispersion-threshold fixation detection.
-
-    The growing buffer is kept as count, extremes, sums and two times, so the
-    state stays small however long a fixation lasts.
-    """
-
-    def __init__(self, max_dispersion: float = 40.0, min_samples: int = 3):
-        self.limit, self.need = max_dispersion, min_samples
-
-    @staticmethod
-    def start() -> dict:
-        return {"n": 0, "onset": None, "word": None}
-
-    def __call__(self, s: dict, row: tuple) -> list[tuple]:
-        ts, x, y, word = row
-        if s["n"] == 0:
-            s.update(first=ts, before=ts, last=ts, lo_x=x, hi_x=x, lo_y=y, hi_y=y, sx=0.0, sy=0.0,
-                     last_x=x, last_y=y, n=1)
-        else:
-            s["sx"] += s["last_x"]
-            s["sy"] += s["last_y"]
-            s.update(before=s["last"], last=ts, last_x=x, last_y=y, n=s["n"] + 1,
-                     lo_x=min(s["lo_x"], x), hi_x=max(s["hi_x"], x),
-                     lo_y=min(s["lo_y"], y), hi_y=max(s["hi_y"], y))
-        if s["n"] < self.need:
-            return []
-        spread = math.sqrt((s["hi_x"] - s["lo_x"]) ** 2 + (s["hi_y"] - s["lo_y"]) ** 2)
-        if spread <= self.limit and word is not None:
-            if s["onset"] is None:
-                s["onset"], s["word"] = s["first"], word
-            return []
-        out = []
-        if s["onset"] is not None and s["before"] > s["onset"]:
-            kept = s["n"] - 1
-            out.append((s["word"], s["onset"], s["before"], (s["before"] - s["onset"]) / 1e6,
-                        s["sx"] / kept, s["sy"] / kept, kept))
-        s.clear()
-        s.update(self.start())
-        return out
-
-
-def idt_fixations(samples: DataFrame, keys: Sequence[str] = SESSION, order: Sequence[str] = TIME,
-                  max_dispersion: float = 40.0, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Fixations by dispersion; the sample that breaks one belongs to none."""
-    return ordered_scan(samples, keys, order, Idt.start, Idt(max_dispersion), IDT,
-                        inputs=[order[0], "x", "y", "word_index"], target_rows=target_rows)
-
-
-def idt_regressions(fixations: DataFrame, keys: Sequence[str] = SESSION, delta: int = 1,
-                    target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Backward moves of at least ``delta`` words between fixations."""
-    frame = OrderedFrame(fixations, keys, ["onset_ns"], target_rows=target_rows)
-    step = F.col("from_word_idx") - F.col("word_index")
-    return frame.lag({"from_word_idx": "word_index"}).df.filter(step >= delta).select(
-        *keys, "from_word_idx", F.col("word_index").alias("to_word_idx"),
-        F.col("offset_ns").alias("saccade_ts_ns"), step.cast("double").alias("amplitude_px"))
-
-
 # Fixed values of the velocity method.
 PX_PER_DEGREE, SACCADE_DEG_S, BLINK_EAR = 18.0, 6.0, 0.2
 
@@ -235,10 +129,10 @@ def velocity_fixations(steps: OrderedFrame) -> DataFrame:
 
 
 def blinks(samples: DataFrame, keys: Sequence[str] = SESSION, order: Sequence[str] = TIME,
-           target_rows: int = TARGET_ROWS) -> DataFrame:
+           target_rows: int = TARGET_ROWS, within: OrderedFrame | None = None) -> DataFrame:
     """Blinks per key: openings below the limit that follow an open eye."""
     seen = samples.filter(F.col("ear").isNotNull()).withColumn("_closed", F.col("ear") < BLINK_EAR)
-    frame = OrderedFrame(seen.select(*keys, *order, "_closed"), keys, order, target_rows=target_rows)
+    frame = OrderedFrame(seen.select(*keys, *order, "_closed"), keys, order, target_rows=target_rows, within=within)
     down = F.col("_closed") & ~F.coalesce("_was", F.lit(False))
     return frame.lag({"_was": "_closed"}).df.groupBy(*keys).agg(F.count_if(down).alias("blink_count"))
 
@@ -263,7 +157,7 @@ def eye_features(samples: DataFrame, keys: Sequence[str] = SESSION, order: Seque
     any_step = F.coalesce(F.col("_steps"), F.lit(0)) > 0
     rate = F.when(F.col("duration_sec") > 0, F.try_divide(F.col("blink_count"), F.col("duration_sec")) * 60)
     joined = (base.join(moves, keys, "left").join(fix, keys, "left")
-              .join(blinks(samples, keys, order, target_rows), keys, "left"))
+              .join(blinks(samples, keys, order, within=steps), keys, "left"))
     zero = F.lit(0.0)
     return joined.select(
         *keys, "duration_sec",

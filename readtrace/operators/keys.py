@@ -33,21 +33,21 @@ def keystrokes(keys_df: DataFrame, keys: Sequence[str] = SENTENCE, order: Sequen
     rows = frame.df.withColumn("_segment", F.col("_ends") - end.cast("long"))
 
     step = F.when(F.col("kind") == "char", 1).when(F.col("kind") == "backspace", -1).otherwise(0)
-    inner = OrderedFrame(rows, [*keys, "_segment"], order, target_rows=target_rows)
+    inner = OrderedFrame(rows, [*keys, "_segment"], order, within=frame)
     inner = inner.running_sum("_sum", step.cast("long")).running_min("_low", F.col("_sum"))
     depth = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
     rows = inner.df.withColumn("_depth", depth)
 
     back = rows.select("*", *[(-F.col(c)).alias(f"_r{c}") for c in order])
-    behind = OrderedFrame(back, [*keys, "_segment"], [f"_r{c}" for c in order], target_rows=target_rows)
+    behind = OrderedFrame(back, [*keys, "_segment"], [f"_r{c}" for c in order], within=frame, within_order=order, reverse=True)
     rows = behind.running_min("_least_after", F.col("_depth")).df
     rows = rows.withColumn("submits", end & (F.col("_depth") > 0)).withColumn(
         "survives", (F.col("kind") == "char") & (F.col("_least_after") >= F.col("_depth")))
 
-    words = OrderedFrame(rows, keys, order, target_rows=target_rows).running_sum(
+    words = OrderedFrame(rows, keys, order, within=frame).running_sum(
         "_submitted", F.col("submits").cast("long"))
     rows = words.df.withColumn("word_index", (F.col("_submitted") - F.col("submits").cast("long")).cast("int"))
-    timed = OrderedFrame(rows, [*keys, "word_index"], order, target_rows=target_rows).lag({"_key_before": ts}).df
+    timed = OrderedFrame(rows, [*keys, "word_index"], order, within=frame).lag({"_key_before": ts}).df
     return timed.select(*keys, *order, "kind", "char", "word_index", "submits", "survives",
                         ((F.col(ts) - F.col("_key_before")) / 1e6).alias("iki_ms"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -54,11 +56,35 @@ class Lifecycle:
         return [(ts, event, before, after or before, after is not None)]
 
 
+class LifecycleTransfer:
+    """The state that a chunk leads to from each state: all states run at once, those that meet as one."""
+
+    def __init__(self, moves: dict):
+        self.moves = moves
+        self.now = {state: [state] for state in {s for s, _ in moves} | set(moves.values())}
+
+    def add(self, row: tuple) -> None:
+        event = row[1]
+        if any((state, event) in self.moves for state in self.now):
+            met: dict[str, list[str]] = {}
+            for state, starts in self.now.items():
+                met.setdefault(self.moves.get((state, event), state), []).extend(starts)
+            self.now = met
+
+    def result(self) -> LifecycleTransfer:
+        self.end = {start: state for state, starts in self.now.items() for start in starts}
+        return self
+
+    def after(self, s: dict) -> dict:
+        return {"state": self.end[s["state"]]}
+
+
 def lifecycle_history(events: DataFrame, keys: Sequence[str] = ("session_id",),
                       order: Sequence[str] = ("ts_ns", "event_id"), target_rows: int = TARGET_ROWS) -> DataFrame:
     """Every lifecycle event with the state before and after it."""
-    return ordered_scan(events, keys, order, Lifecycle.start, Lifecycle(), HISTORY,
-                        inputs=[order[0], "event"], target_rows=target_rows)
+    step = Lifecycle()
+    return ordered_scan(events, keys, order, Lifecycle.start, step, HISTORY, inputs=[order[0], "event"],
+                        target_rows=target_rows, transfer=lambda: LifecycleTransfer(step.moves))
 
 
 KEPT = T.StructType([T.StructField("ts_ns", T.LongType()), T.StructField("event_id", T.LongType())])
@@ -82,10 +108,61 @@ class Debounce:
         return [(ts, event_id)]
 
 
+class DebounceTransfer:
+    """The last kept advance after a chunk, by the last kept one before it.
+
+    The earlier that one is, the earlier the chunk's first kept advance: a step function with
+    one step for each advance within ``need`` of the chunk's beginning.  Chains that keep the
+    same advance go on as one, so no more run side by side than advances lie within ``need``.
+    """
+
+    def __init__(self, need: int):
+        self.need, self.first = need, None
+        self.steps: list[tuple[int, int]] = []  # (latest time before, chain)
+        self.chains: deque[tuple[int, int]] = deque()  # (last kept, chain), by time
+        self.joined: dict[int, int] = {}
+
+    def add(self, row: tuple) -> None:
+        ts = row[0]
+        chain = None
+        while self.chains and self.chains[0][0] <= ts - self.need:
+            _, old = self.chains.popleft()
+            if chain is None:
+                chain = old
+            else:
+                self.joined[old] = chain
+        if self.first is None:
+            self.first = ts
+        if not self.steps or self.steps[-1][0] < min(ts - self.need, self.first):  # some earlier times keep this one first
+            if chain is None:
+                chain = len(self.steps)
+            self.steps.append((ts - self.need, chain))
+            if chain != len(self.steps) - 1:
+                self.joined[len(self.steps) - 1] = chain
+        if chain is not None:
+            self.chains.append((ts, chain))
+
+    def result(self) -> DebounceTransfer:
+        self.kept = {chain: ts for ts, chain in self.chains}
+        del self.chains
+        return self
+
+    def after(self, s: dict) -> dict:
+        before = s["loaded"]
+        at = 0 if before is None else bisect.bisect_left(self.steps, (before,))
+        if at == len(self.steps):
+            return s
+        chain = self.steps[at][1]
+        while chain in self.joined:
+            chain = self.joined[chain]
+        return {"loaded": self.kept[chain]}
+
+
 def debounced(advances: DataFrame, keys: Sequence[str] = ("session_id",), min_ms: float = 600.0,
               target_rows: int = TARGET_ROWS) -> DataFrame:
-    return ordered_scan(advances, keys, ["ts_ns", "event_id"], Debounce.start, Debounce(min_ms), KEPT,
-                        inputs=["ts_ns", "event_id"], target_rows=target_rows)
+    step = Debounce(min_ms)
+    return ordered_scan(advances, keys, ["ts_ns", "event_id"], Debounce.start, step, KEPT, inputs=["ts_ns", "event_id"],
+                        target_rows=target_rows, transfer=lambda: DebounceTransfer(step.need))
 
 
 def sentence_durations(closes: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:

@@ -10,130 +10,124 @@ window runs per (key, chunk), and one small row per chunk carries the sum, the
 last row or the last known value into the next chunk.  Both plans give the same
 rows; only their parallelism differs.
 
-Size bounds, since the cut table is broadcast: chunks number at most
-``MAX_CHUNKS`` (the target grows with the table) and a hot key has
-``BINS_PER_CHUNK`` bins per chunk, so it is at most a few million integers.
+Cuts are equi-depth: quantiles of the whole order, tie-breakers included, from a
+sample of ``SAMPLES`` rows a chunk (of all rows where chunks are smaller than that).
+So outliers, bursts and rows of one position cut like any others.  A frame derived
+from another one (``within``) takes over its cuts instead of measuring again.
+
+Size bounds, since the cut table is broadcast: cuts number at most ``MAX_CHUNKS``
+(the target grows with the table), whatever the table holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 2_000_000
 MAX_CHUNKS = 20_000
-BINS_PER_CHUNK = 32
+#: Sampled rows per chunk; chunk sizes then stay within about an eighth of the target, largest ones below twice.
+SAMPLES = 64
 CHUNK = "_chunk"
 WHOLE = -1  # chunk number of a key that is not split
+_CUTS = "_cuts"
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], position: Column,
-               target_rows: int = TARGET_ROWS) -> DataFrame | None:
-    """(keys, lo, width, chunk_of_bin) for the keys that need splitting, or None.
+@dataclass
+class Cuts:
+    """Last rows of the chunks of each hot key, but for the last chunk: (keys, array of order structs)."""
 
-    ``position`` is the numeric leading order expression.  Rows of one position
-    always share a chunk, so any further order columns only matter inside it.
-    """
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(position.cast("double")).alias("_lo"),
-        F.max(position.cast("double")).alias("_hi"),
-    )
+    table: DataFrame
+    keys: list[str]
+    order: list[str]
+
+
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> Cuts | None:
+    """Where the keys with more than ``target_rows`` rows are cut, or None if there are none."""
+    keys, order = list(keys), list(order)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     target = max(target_rows, (total or 0) // MAX_CHUNKS)
     if not largest or largest <= target:
         return None
-
-    # Equal-width bins, counted exactly, then packed into chunks by running count.
-    bins = F.least(F.ceil(F.col("_n") / target) * BINS_PER_CHUNK,
-                   F.lit(MAX_CHUNKS * BINS_PER_CHUNK)).cast("int")
-    hot = (
-        counts.filter((F.col("_n") > target) & (F.col("_hi") > F.col("_lo")))
-        .select(*keys, F.col("_lo"), bins.alias("_bins"),
-                ((F.col("_hi") - F.col("_lo")) / bins).alias("_width"))
-    )
-    hot_rows = hot.collect()  # at most total / target <= MAX_CHUNKS rows
-    if not hot_rows:
-        return None
-    spark = df.sparkSession
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot.schema))
-    binned = (
-        df.select(*keys, position.cast("double").alias("_pos"))
-        .join(hot, list(keys))
-        .groupBy(*keys, "_lo", "_width", "_bins", _bin(F.col("_pos")).alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    before = F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    packed = (
-        binned.withColumn("_to", F.floor(F.coalesce(before, F.lit(0)) / target).cast("int"))
-        .groupBy(*keys, "_lo", "_width", "_bins")
-        .agg(F.array_sort(F.collect_list(F.struct("_bin", "_to"))).alias("_filled"))
-    )
-    # At most MAX_CHUNKS * BINS_PER_CHUNK * 2 integers over all hot keys.
-    rows = [(*[r[k] for k in keys], r["_lo"], r["_width"], r["_bins"],
-             _dense(r["_filled"], r["_bins"])) for r in packed.collect()]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in hot.schema.fields if f.name in keys)
-    return spark.createDataFrame(
-        rows, f"{fields}, _lo double, _width double, _bins int, _chunk_of_bin array<int>")
-
-
-def _bin(position: Column) -> Column:
-    raw = F.floor((position - F.col("_lo")) / F.col("_width"))
-    return F.least(raw, F.col("_bins") - 1).cast("int")
-
-
-def _dense(filled, n_bins: int) -> list[int]:
-    chunk_of = dict((b, c) for b, c in filled)
-    out, last = [], 0
-    for b in range(n_bins):
-        last = chunk_of.get(b, last)
-        out.append(last)
-    return out
-
-
-def with_chunks(df: DataFrame, keys: Sequence[str], position: Column,
-                target_rows: int = TARGET_ROWS,
-                measure: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Add the chunk number; rows of keys that are not hot get ``WHOLE``.
-
-    ``measure`` may be a cheaper table with the same keys and position whose
-    counts bound those of ``df`` (for instance one side of a join).
+    # At most total / target <= MAX_CHUNKS keys are hot.
+    hot = counts.where(F.col("_n") > target).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / target).alias("_chunks"))
+    rows = df.select(*keys, F.struct(*order).alias("_place")).join(F.broadcast(hot), _same(keys))
+    share = int((1 << 30) * min(1.0, SAMPLES / target))
+    sample = rows.where(F.pmod(F.xxhash64(*keys, "_place"), F.lit(1 << 30)) < share) if share < 1 << 30 else rows
+    # A key's sample has about SAMPLES * MAX_CHUNKS rows at most.
+    ranked = sample.select(*keys, "_place", "_chunks", F.row_number().over(Window.partitionBy(*keys).orderBy("_place")).alias("_rank"),
+                           F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_m"))
+    step = F.ceil(F.col("_m") / F.col("_chunks"))
+    cuts = (ranked.where((F.col("_rank") % step == 0) & (F.col("_rank") < F.col("_m")))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list("_place")).alias(_CUTS)))
+    return Cuts(df.sparkSession.createDataFrame(cuts.collect(), cuts.schema), keys, order)
+
+
+def _same(keys: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    return on
+
+
+def add_chunks(df: DataFrame, cuts: Cuts, order: Sequence[str] | None = None, reverse: bool = False) -> DataFrame:
+    """Number of cuts before each row, from 0; rows of keys that are not hot get ``WHOLE``.
+
+    ``order`` names the columns of ``df`` that hold the order the cuts were made in;
+    ``reverse`` numbers the chunks from the end.
     """
-    cuts = cut_points(df if measure is None else measure, keys, position, target_rows)
+    place, held = F.struct(*[F.col(c).alias(o) for c, o in zip(order or cuts.order, cuts.order, strict=True)]), F.col(_CUTS)
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= F.size(held)) & (F.get(held, at + step - 1) < place), at + step).otherwise(at)
+
+    steps = [1 << k for k in reversed(range((MAX_CHUNKS + 1).bit_length()))]
+    before = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)  # binary search
+    chunk = F.when(held.isNull(), WHOLE).otherwise(F.size(held) - before if reverse else before)
+    table = cuts.table.select(*[F.col(k).alias(f"_hot_{k}") for k in cuts.keys], _CUTS)
+    return df.join(F.broadcast(table), _same(cuts.keys), "left").withColumn(CHUNK, chunk).select(*df.columns, CHUNK)
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
+    """Add the chunk number; rows of keys that are not hot get ``WHOLE``."""
+    cuts = cut_points(df, keys, order, target_rows)
     if cuts is None:
         return df.withColumn(CHUNK, F.lit(WHOLE)), False
-    chunk = F.coalesce(
-        F.get(F.col("_chunk_of_bin"), F.coalesce(_bin(position.cast("double")), F.lit(0))),
-        F.lit(WHOLE))
-    out = (
-        df.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn(CHUNK, chunk)
-        .select(*df.columns, CHUNK)
-    )
-    return out, True
+    return add_chunks(df, cuts), True
 
 
 class OrderedFrame:
     """A DataFrame with a total order inside each key; see the module text.
 
-    ``order`` must be total inside a key, or ties must not matter.
-    ``position`` defaults to the first order column and must be numeric.
-    Each method adds a column and returns a new frame; ``.df`` is the result.
+    ``order`` must be total inside a key, or ties must not matter.  ``measure`` may be a
+    cheaper table with the same keys and order whose counts bound those of ``df`` (for
+    instance one side of a join).  ``within`` is a frame over the rows that ``df`` was made
+    from, with the same keys or fewer: its cuts are used.  ``within_order`` names the columns
+    of ``df`` that hold that frame's order where this one has another, and ``reverse`` says
+    that this order runs against it.  Each method adds a column and returns a new frame;
+    ``.df`` is the result.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 position: Column | None = None, target_rows: int = TARGET_ROWS,
-                 measure: DataFrame | None = None,
-                 _state: tuple[DataFrame, bool] | None = None):
+                 target_rows: int = TARGET_ROWS, measure: DataFrame | None = None,
+                 within: OrderedFrame | None = None, within_order: Sequence[str] | None = None,
+                 reverse: bool = False, _df: DataFrame | None = None):
         self.keys, self.order, self.target_rows = list(keys), list(order), target_rows
-        if _state is None:
-            pos = position if position is not None else F.col(self.order[0])
-            _state = with_chunks(df, self.keys, pos, target_rows, measure)
-        self._df, self.split = _state
+        if within is not None:
+            self.cuts = within.cuts
+        else:
+            self.cuts = cut_points(df if measure is None else measure, self.keys, self.order, target_rows)
+        self.split = self.cuts is not None
+        if _df is not None:
+            self._df = _df
+        elif self.split:
+            self._df = add_chunks(df, self.cuts, within_order, reverse)
+        else:
+            self._df = df.withColumn(CHUNK, F.lit(WHOLE))
 
     # -- plumbing ---------------------------------------------------------
     @property
@@ -141,8 +135,7 @@ class OrderedFrame:
         return self._df.drop(CHUNK)
 
     def _on(self, df: DataFrame) -> OrderedFrame:
-        return OrderedFrame(df, self.keys, self.order, target_rows=self.target_rows,
-                            _state=(df, self.split))
+        return OrderedFrame(df, self.keys, self.order, target_rows=self.target_rows, within=self, _df=df)
 
     def select(self, *cols) -> OrderedFrame:
         """Project while keeping keys, order and chunk columns usable."""

@@ -7,10 +7,13 @@ rows and streams each partition through a small Python step in Arrow batches;
 no group is ever built in memory.
 
 A hot key is cut into chunks (see ``ordered.cut_points``) that run in parallel.
-A chunk needs the state its predecessor ends with, so the scan is repeated for
-the chunks whose assumed start state proved wrong until none is left.  Such
-state machines forget their start quickly, so few chunks run more than twice,
-and the answer equals the sequential one in every case.
+A chunk needs the state its predecessor ends with.  Where the rule has a
+*transfer* (the effect of a chunk on any state before it, as a small object),
+one pass finds all transfers, they are composed in order, and a second pass
+gives the output: two passes, however many chunks there are.  Without one, the
+scan is repeated for the chunks whose assumed start state proved wrong until
+none is left; in the worst case, as with the aligners, that is once per chunk.
+The answer equals the sequential one in every case.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,9 +41,8 @@ def ordered_scan(
     step: Callable[[object, tuple], Sequence[tuple]],
     output: T.StructType,
     inputs: Sequence[str] | None = None,
-    position: Column | None = None,
     target_rows: int = TARGET_ROWS,
-    pre_partitioned: bool = False,
+    transfer: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Run ``step`` over the rows of every key in ``order``.
 
@@ -48,23 +50,22 @@ def ordered_scan(
     and returns output tuples (without keys), where ``row`` holds the ``inputs``
     columns (default: all columns but the keys).  The result has the key
     columns followed by ``output``.  The state must pickle and stay small.
-    ``pre_partitioned`` skips the exchange when the input is already hashed by
-    a subset of the keys.
+    ``transfer()`` has ``add(row)`` and ``result()``; the result pickles, and its
+    ``after(state)`` is the state after the chunk.
     """
     keys, order = list(keys), list(order)
     inputs = list(inputs) if inputs is not None else [c for c in df.columns if c not in keys]
     needed = list(dict.fromkeys(keys + order + inputs))
-    pos = position if position is not None else F.col(order[0])
-    df, split = with_chunks(df.select(*needed), keys, pos, target_rows)
+    df, split = with_chunks(df.select(*needed), keys, order, target_rows)
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + list(output.fields))
 
     if not split:
-        source = df.drop(CHUNK) if pre_partitioned else df.drop(CHUNK).repartition(*keys)
+        source = df.drop(CHUNK).repartition(*keys)
         runner = _runner(keys, inputs, init, step, out_schema, chunked=False)
         return source.sortWithinPartitions(*keys, *order).mapInArrow(runner, out_schema)
 
-    seeds = _settle(df, keys, order, inputs, init, step)
+    seeds = _composed(df, keys, order, inputs, init, transfer) if transfer else _settle(df, keys, order, inputs, init, step)
     runner = _runner(keys, inputs, init, step, out_schema, chunked=True, emit_end=False)
     return _seeded(df, seeds, keys, order).mapInArrow(runner, out_schema)
 
@@ -78,14 +79,50 @@ def _seeded(df: DataFrame, seeds: DataFrame | None, keys, order) -> DataFrame:
             .sortWithinPartitions(*keys, CHUNK, F.col(SEED).isNull(), *order))
 
 
+def _seed_schema(df: DataFrame, keys: Sequence[str], name: str) -> T.StructType:
+    return T.StructType([df.schema[k] for k in keys] + [T.StructField(CHUNK, T.IntegerType()), T.StructField(name, T.BinaryType())])
+
+
+def _composed(df, keys, order, inputs, init, transfer) -> DataFrame:
+    """Start states of all chunks of hot keys, from one pass that finds their transfers."""
+    schema = _seed_schema(df, keys, END)
+    arrow = to_arrow_schema(schema)
+    group = [*keys, CHUNK]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, now = None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], f.type) for v, f in zip((*current, pickle.dumps(now.result())), arrow)], schema=arrow)
+
+        for batch in batches:
+            groups = zip(*[batch.column(c).to_pylist() for c in group])
+            for at, row in zip(groups, zip(*[batch.column(c).to_pylist() for c in inputs])):
+                if at != current:
+                    if current is not None:
+                        yield told()
+                    current, now = at, transfer()
+                now.add(row)
+        if current is not None:
+            yield told()
+
+    hot = _seeded(df.filter(F.col(CHUNK) != WHOLE), None, keys, order)
+    # One small object per chunk, and chunks are bounded by MAX_CHUNKS.
+    found = sorted(((tuple(r)[:-1], bytes(r[END])) for r in hot.mapInArrow(run, schema).collect()), key=lambda f: (repr(f[0][:-1]), f[0][-1]))
+    starts, key, state = [], None, None
+    for at, effect in found:
+        if at[:-1] != key:
+            key, state = at[:-1], init()
+        starts.append((*at, bytearray(pickle.dumps(state))))
+        state = pickle.loads(effect).after(state)
+    return df.sparkSession.createDataFrame(starts, _seed_schema(df, keys, SEED))
+
+
 def _settle(df, keys, order, inputs, init, step) -> DataFrame:
     """Start states of all chunks of hot keys, found by repetition."""
     spark = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
-    end_schema = T.StructType(key_fields + [
-        T.StructField(CHUNK, T.IntegerType()), T.StructField(END, T.BinaryType())])
-    seed_schema = T.StructType(key_fields + [
-        T.StructField(CHUNK, T.IntegerType()), T.StructField(SEED, T.BinaryType())])
+    end_schema, seed_schema = _seed_schema(df, keys, END), _seed_schema(df, keys, SEED)
     runner = _runner(keys, inputs, init, step, end_schema, chunked=True, emit_end=True)
     hot = df.filter(F.col(CHUNK) != WHOLE)
 

@@ -83,8 +83,7 @@ def read_text_log(spark: SparkSession, path: str, target_rows: int = TARGET_ROWS
         "complete": part(_FLUSH, 2, "int"), "risk_score": part(_SCORE, 1, "double"),
         "risk_band": part(_SCORE, 2), "completeness": part(_SCORE, 3, "double"),
         "_no": part(_SENTENCE, 1, "int")})
-    frame = OrderedFrame(typed, ["log_name"], ["block", "line"], position=F.col("line"),
-                         target_rows=target_rows)
+    frame = OrderedFrame(typed, ["log_name"], ["block", "line"], target_rows=target_rows)
     return frame.last_known("sentence_no", F.col("_no")).df.drop("_no", "block", "line")
 
 

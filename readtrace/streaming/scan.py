@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from readtrace.operators import align, gaze, lifecycle
+from readtrace.operators import align, fixations as fx, lifecycle
 
 _STATE = T.StructType([T.StructField("state", T.BinaryType())])
 
@@ -61,9 +61,9 @@ def fixations(samples: DataFrame, method: str = "dispersion", keys: Sequence[str
               order: Sequence[str] = ("ts_ns", "sample_id"), **options) -> DataFrame:
     """Fixations as samples arrive, by dispersion or by dwell."""
     if method == "dispersion":
-        return stream_scan(samples, keys, order, gaze.Idt.start, gaze.Idt(**options), gaze.IDT,
+        return stream_scan(samples, keys, order, fx.Idt.start, fx.Idt(**options), fx.IDT,
                            [order[0], "x", "y", "word_index"])
-    return stream_scan(samples, keys, order, gaze.Dwell.start, gaze.Dwell(**options), gaze.DWELL,
+    return stream_scan(samples, keys, order, fx.Dwell.start, fx.Dwell(**options), fx.DWELL,
                        [order[0], "word_index"])
 
 

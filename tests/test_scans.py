@@ -1,9 +1,11 @@
 """Path-dependent rules against plain Python, whole and cut."""
 
 import math
+import pickle
 import random
 
 import pytest
+from readtrace.operators import fixations as fx
 from readtrace.operators import gaze as gz
 from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
@@ -109,6 +111,70 @@ def test_lifecycle_and_debounce(spark, target):
     assert kept == list(range(0, 200, 4))
 
 
+def states_by_chunks(step, start, rows, transfer, cuts):
+    """(state after these rows one by one, state after the chunks' transfers)."""
+    state, after = start(), start()
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        chunk = transfer()
+        for row in rows[a:b]:
+            step(state, row)
+            chunk.add(row)
+        if b > a:
+            after = pickle.loads(pickle.dumps(chunk.result())).after(after)
+            yield state, after
+
+
+def test_transfers_equal_steps():
+    rng = random.Random(9)
+    for _ in range(1500):
+        rows, ts, x, word = [], 0, 0.0, 0
+        for i in range(rng.randint(1, 60)):
+            ts += rng.choice([0, 20, 50, 100, 200]) * 10 ** 6
+            x = rng.random() * 100 if rng.random() < 0.3 else x
+            word = rng.choice([None, 0, 1, 2, 3, 4]) if rng.random() < 0.4 else word
+            rows.append((ts, x + rng.random() * 20, rng.random() * 20, word))
+        cuts = sorted(rng.choices(range(len(rows) + 1), k=rng.randint(0, 6)))
+        dwell, debounce, life, idt = fx.Dwell(rng.choice([60.0, 150.0])), lc.Debounce(rng.choice([1.0, 100.0, 300.0])), lc.Lifecycle(), fx.Idt(40.0)
+        events = [(i, rng.choice(lc.MOVES)[1]) for i in range(len(rows))]
+        for step, start, inputs, transfer in (
+                (dwell, fx.Dwell.start, [(r[0], r[3]) for r in rows], lambda: fx.DwellTransfer(dwell.need)),
+                (debounce, lc.Debounce.start, [(r[0], i) for i, r in enumerate(rows)], lambda: lc.DebounceTransfer(debounce.need)),
+                (life, lc.Lifecycle.start, events, lambda: lc.LifecycleTransfer(life.moves)),
+                (idt, fx.Idt.start, rows, lambda: fx.IdtTransfer(idt))):
+            for one, other in states_by_chunks(step, start, inputs, transfer, cuts):
+                assert {k: pytest.approx(v) if isinstance(v, float) else v for k, v in one.items()} == other
+
+
+def test_transfers_stay_small():
+    """A long recording leaves few cases, steps and ways behind."""
+    rng = random.Random(2)
+    dwell, idt, debounce = fx.DwellTransfer(100), fx.IdtTransfer(fx.Idt(40.0)), lc.DebounceTransfer(600)
+    for i in range(20_000):
+        dwell.add((i * 30, rng.choice([None, *range(12)]) if i % 5 == 0 else dwell.word))
+        idt.add((i, rng.random() * 60, rng.random() * 20, 1))
+        debounce.add((i * 170, i))
+    assert len(dwell.result().nodes) < 2_000 and len(dwell.cases) < 60
+    assert len(idt.ends) < 60 and len(idt.states) < 30
+    assert len(debounce.result().steps) < 10
+
+
+def test_two_passes_however_many_chunks(spark, samples, monkeypatch):
+    from readtrace.operators import scan
+    passes = []
+    plain = scan._seeded
+    monkeypatch.setattr(scan, "_seeded", lambda *a: passes.append(1) or plain(*a))
+    events = spark.createDataFrame([(1, i, i, rng_event(i)) for i in range(400)], "session_id long, ts_ns long, event_id long, event string")
+    for run in (lambda: gz.dwell_fixations(samples, target_rows=25), lambda: gz.idt_fixations(samples, target_rows=25),
+                lambda: lc.lifecycle_history(events, target_rows=20), lambda: lc.debounced(events.drop("event"), min_ms=1e-5, target_rows=20)):
+        passes.clear()
+        run().collect()
+        assert len(passes) == 2  # 20 chunks of the hot key
+
+
+def rng_event(i):
+    return lc.MOVES[i * 7 % len(lc.MOVES)][1]
+
+
 def test_subsequence_bits():
     rng = random.Random(1)
 
