@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from readtrace.llm.common import BOOL, BYTES, LONG, STRING, map_rows, stash, struct
+from readtrace.llm.common import BOOL, LONG, STRING, bitmap, in_bitmap, map_rows, stash, struct
+from readtrace.llm.fixed_blocks import rolling
 
 WINDOW = 8
 #: Windows with fewer words that are no placeholders say too little without their values.
@@ -44,65 +46,76 @@ _DENSE = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u34
 _HAS_DENSE = re.compile(f"[{_DENSE}]")
 _DENSE_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|(?![\W\d_])[{_DENSE}]|[^\W\d_{_DENSE}]+")
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh3_64_intdigest(p)) for p in ("<number>", "<unit>", "<name>"))
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _salted(salt: int) -> np.uint64:
+    return np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
 class _Ids(dict):
-    """64-bit id and kind of a word: 0 literal, 1 number, 2 possible unit, 4 name."""
+    """61-bit hash of a word in lower case, and in the low bits its kind: 0 literal, 1 number, 2 possible unit, 4 name."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         low = word.lower()
         kind = 1 if word[0].isdigit() else 2 * (low in UNITS) + 4 * (low != word and word[0].isupper())
-        value = xxhash.xxh3_64_intdigest(low), kind
+        value = xxhash.xxh3_64_intdigest(low) & ~7 | kind
         if len(self) < 500_000:
             self[word] = value
         return value
 
 
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_DIGITS = b"0123456789"
+
+
 def words_of(text: str | None) -> list[str]:
     text = text or ""
+    data = text.encode()
+    if len(data.translate(None, _DIGITS)) == len(data) and (text.isascii() or not _HAS_DENSE.search(text)):
+        # Without a digit, words are runs of letters; anything that is neither ASCII nor a letter is left to the pattern.
+        words = data.translate(_LETTERS).decode().split()
+        if all(map(str.isalpha, words)):
+            return words
     dense = not text.isascii() and _HAS_DENSE.search(text)
     return (_DENSE_TOKEN if dense else _TOKEN).findall(text)
 
 
-def template(text: str | None, ids: _Ids) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
-    """Words; ids of both families and of the words as they are; and which words are placeholders in each family."""
-    words = words_of(text)
-    if not words:
-        return words, [np.empty(0, np.uint64)] * 3, [np.empty(0, bool)] * 2
-    pairs = [ids[w] for w in words]
-    raw = np.array([p[0] for p in pairs], np.uint64)
-    plain = raw.copy()
-    kind = np.array([p[1] for p in pairs], np.int8)
-    number = kind == 1
-    unit = np.zeros(len(words), bool)
-    unit[1:] = number[:-1] & ((kind[1:] & 2) > 0)
-    plain[number], plain[unit] = _NUMBER, _UNIT
-    named = plain.copy()
-    name = ((kind & 4) > 0) & ~unit
-    named[name] = _NAME
-    return words, [plain, named, raw], [number | unit, number | unit | name]
-
-
-def windows(ids: np.ndarray, slots: np.ndarray, raw: np.ndarray, size: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows, and which hold enough literal words; the others are hashed with their values."""
-    n = len(ids) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    h = np.full(n, family * 1009 + size, np.uint64)
-    for i in range(size):
-        h = (h ^ ids[i:i + n]) * _STEP
-        h ^= h >> np.uint64(29)
-    filled = np.concatenate(([0], np.cumsum(slots)))
-    literal = size - (filled[size:] - filled[:-size]) >= LITERALS
-    few = np.flatnonzero(~literal)
-    if len(few):
-        e = np.full(len(few), family * 1009 + size + 500, np.uint64)
-        for i in range(size):
-            e = (e ^ raw[few + i]) * _STEP
-            e ^= e >> np.uint64(29)
-        h[few] = e
-    return h, literal
+class Template:
+    """Words of many texts, one after another, as template words of both families."""
+
+    def __init__(self, texts: list, ids: _Ids):
+        found = [words_of(t) for t in texts]
+        self.words = list(chain.from_iterable(found))
+        self.counts = np.fromiter(map(len, found), np.int64, len(found))
+        packed = np.fromiter(map(ids.__getitem__, self.words), np.uint64, len(self.words))
+        kind = (packed & np.uint64(7)).astype(np.int8)
+        self.raw = packed - kind.astype(np.uint64)  # the words as they are
+        self.text = np.repeat(np.arange(len(found)), self.counts)
+        self.at = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        number = kind == 1
+        unit = np.zeros(len(kind), bool)
+        unit[1:] = number[:-1] & ((kind[1:] & 2) > 0) & (self.at[1:] > 0)
+        name = ((kind & 4) > 0) & ~unit
+        plain = self.raw.copy()
+        plain[number], plain[unit] = _NUMBER, _UNIT
+        named = plain.copy()
+        named[name] = _NAME
+        #: Ids and placeholders of each family; names are placeholders in the second.
+        self.ids, self.slots = (plain, named), (number | unit, number | unit | name)
+
+    def windows(self, size: int, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all windows, their hashes, and which hold enough literal words; the others are hashed with their values."""
+        place = np.flatnonzero(self.counts[self.text] - self.at >= size)
+        if not len(place):
+            return place, np.empty(0, np.uint64), np.empty(0, bool)
+        salt = family * 1009 + size
+        h = rolling(self.ids[family], size)[place] ^ _salted(salt)
+        filled = np.concatenate(([0], np.cumsum(self.slots[family])))
+        literal = size - (filled[place + size] - filled[place]) >= LITERALS
+        few = np.flatnonzero(~literal)
+        if len(few):
+            h[few] = rolling(self.raw, size, 1)[place[few]] ^ _salted(salt + 500)
+        return place, h, literal
 
 
 def _alone(text: str) -> np.ndarray:
@@ -111,7 +124,7 @@ def _alone(text: str) -> np.ndarray:
     return (np.cumsum(counts) - counts)[counts == 1]
 
 
-def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, bitmap) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, held) -> DataFrame:
     """(key, family, hash, at, literal, slots) of windows; sizes None: each text's own, at most WINDOW.
 
     An item of one word only counts in a document where the word is a line of its own.
@@ -121,54 +134,38 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, bitmap) -> Da
 
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
         ids = _Ids()
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        bits = None if held is None else np.frombuffer(held.value, np.uint8)
         for batch in batches:
+            keys, texts = batch[key], batch["text"]
+            t = Template(texts, ids)
+            own = np.minimum(WINDOW, t.counts)
+            # Of items, those without a name have no second family.
+            names = np.bincount(t.text, t.slots[1] & ~t.slots[0], len(texts)) > 0
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, text in zip(batch[key], batch["text"], strict=True):
-                words, families, slots = template(text, ids)
-                for size in [min(WINDOW, len(words))] if sizes is None else sizes:
-                    for f in (0, 1):
-                        if size < 1 or f and not (slots[1] ^ slots[0]).any() and sizes is None:
-                            continue
-                        h, literal = windows(families[f], slots[f], families[2], size, f)
-                        at = np.arange(len(h))
-                        if bits is not None:
-                            b = h & np.uint64(MAP_BITS - 1)
-                            hit = np.flatnonzero(bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
-                            if size == 1 and len(hit):
-                                hit = np.intersect1d(hit, _alone(text))
-                            at, h, literal = at[hit], h[hit], literal[hit]
-                        for a, value, enough in zip(at.tolist(), h.view(np.int64).tolist(), literal.tolist(), strict=True):
-                            where = np.flatnonzero(slots[f][a:a + size]).tolist()
-                            for column, v in zip(out, (k, f, value, a, enough, [words[a + i].lower() for i in where]), strict=True):
-                                column.append(v)
+            for size in np.unique(own[own > 0]).tolist() if sizes is None else sizes:
+                for f in (0, 1):
+                    place, h, literal = t.windows(size, f)
+                    if bits is None:
+                        hit = np.flatnonzero((own[t.text[place]] == size) & (names[t.text[place]] | (f == 0)))
+                    else:
+                        hit = np.flatnonzero(in_bitmap(bits, h))
+                        if size == 1 and len(hit):
+                            lines = {i: set(_alone(texts[i]).tolist()) for i in np.unique(t.text[place[hit]]).tolist()}
+                            hit = np.array([i for i in hit.tolist() if int(t.at[place[i]]) in lines[int(t.text[place[i]])]], np.int64)
+                    place = place[hit]
+                    out[0].extend(keys[i] for i in t.text[place].tolist())
+                    out[1].extend([f] * len(place))
+                    out[2].extend(h[hit].view(np.int64).tolist())
+                    out[3].extend(t.at[place].tolist())
+                    out[4].extend(literal[hit].tolist())
+                    slot = t.slots[f]
+                    out[5].extend([t.words[a + i].lower() for i in np.flatnonzero(slot[a:a + size]).tolist()] for a in place.tolist())
             if out[0]:
                 yield out
 
     return map_rows(df, run, schema)
 
 
-def _bitmap(items: DataFrame) -> bytes:
-    """One bit per window hash of the benchmark; MAP_BITS bits whatever the benchmark holds."""
-    def run(batches: Iterator[dict]) -> Iterator[tuple]:
-        # One block of 4096 bits for each bucket that has rows, merged by the caller.
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            b = np.array(batch["hash"], np.int64).view(np.uint64) & np.uint64(MAP_BITS - 1)
-            for block in np.unique(b >> np.uint64(12)).tolist():
-                seen.setdefault(block, np.zeros(4096, bool))[(b[b >> np.uint64(12) == block] & np.uint64(4095)).astype(np.int64)] = True
-        if seen:
-            yield list(seen), [np.packbits(v, bitorder="little").tobytes() for v in seen.values()]
-
-    low = F.shiftright(F.col("hash").bitwiseAND(F.lit(MAP_BITS - 1)), 12)
-    parts = map_rows(items.select("hash").distinct().repartition(low), run, struct(("block", LONG), ("bits", BYTES)))
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in parts.collect():  # MAP_BITS / 8 bytes at most
-        at = row.block * 512
-        bits[at:at + 512] |= np.frombuffer(row.bits, np.uint8)
-    return bits.tobytes()
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25, consistency: float = 0.8,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item that it holds, literally or with other values.
@@ -186,9 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.25,
     items = stash(_window_rows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
                                .where(F.col("item_id").isNotNull()), "item_id", None, None), "benchmark-windows")
     sizes = _sizes(benchmark.select(F.col(item_text_col).alias("text")))
-    bitmap = spark.sparkContext.broadcast(_bitmap(items))
+    held = spark.sparkContext.broadcast(bitmap(items, MAP_BITS))
     found = _window_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                         .where(F.col("doc_id").isNotNull()), "doc_id", sizes, bitmap)
+                         .where(F.col("doc_id").isNotNull()), "doc_id", sizes, held)
     of_item = items.select("item_id", "family", "hash", "literal", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")).distinct()
     total = items.groupBy("item_id", "family").agg(
         F.count_distinct(F.when(F.col("literal"), F.col("hash"))).alias("windows"), F.count_distinct("hash").alias("all_windows"),
@@ -267,4 +264,4 @@ def _sizes(texts: DataFrame) -> list[int]:
     return sorted(r.size for r in map_rows(texts, run, struct(("size", LONG))).distinct().collect() if r.size)  # WINDOW values at most
 
 
-__all__ = ["contaminated", "template", "windows", "words_of"]
+__all__ = ["Template", "contaminated", "words_of"]
