@@ -55,6 +55,30 @@ def dropped(df: DataFrame) -> None:
         spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path[0].rpartition("/")[0])
 
 
+#: Keys that a removal broadcasts as they are, and 64-bit lanes of the map that stands for more of them.
+_KEYS_HELD, _LANES = 500_000, 1 << 20
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, held: int = _KEYS_HELD) -> DataFrame:
+    """The rows of ``df`` whose key is not among ``gone``, a column of the same name; rows with a null key stay.
+
+    The texts are not shuffled for it: up to ``held`` keys are broadcast. Of more, a map of 64
+    million bits is, and only rows whose bit is set meet the keys themselves.
+    """
+    gone = stash(gone.select(key).where(F.col(key).isNotNull()).distinct(), "removed-keys")
+    if gone.count() <= held:
+        return df.join(F.broadcast(gone), key, "left_anti").select(df.columns)
+    def placed(column: str) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(_LANES * 64))
+        return F.shiftright(place, 6).alias("lane"), (place % 64).cast("int").alias("bit")
+
+    lanes = gone.select(*placed(key)).groupBy("lane").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    lanes = F.broadcast(stash(lanes, "removed-map"))  # _LANES rows at most
+    rows = df.select(F.struct(*df.columns).alias("row")).select("row", *placed(f"row.{key}")).join(lanes, "lane", "left")
+    hit = F.coalesce(F.expr("shiftright(bits, bit) & 1"), F.lit(0)) == 1
+    return rows.where(~hit).select("row.*").unionByName(rows.where(hit).select("row.*").join(gone, key, "left_anti").select(df.columns))
+
+
 def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows at most, picked by a hash of the key; all where there are fewer."""
     rows = df.count()

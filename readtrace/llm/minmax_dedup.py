@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readtrace.llm.common import BYTES, LONG, map_rows, stash, struct
+from readtrace.llm.common import BYTES, LONG, dropped, map_rows, stash, struct
 
 #: Bands and values per band: a pair at similarity s shares none with (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 40, 6
@@ -120,6 +120,7 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     both = stash(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), purpose)
     labels = stash(both.groupBy("a").agg(F.min("b").alias("m"))
                    .select(F.col("a").alias("id"), F.least("a", "m").alias("component")), purpose)
+    written = labels
     while True:
         near = (both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
                 .groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c")))
@@ -127,8 +128,10 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("further"))
         new = stash(step.join(jump, "c").select("id", "old", F.least("c", "further").alias("component")), purpose)
         changed = new.where("old <> component").limit(1).count()
-        labels = new.select("id", "component")
+        dropped(written)
+        labels, written = new.select("id", "component"), new
         if not changed:
+            dropped(both)
             return labels
 
 
@@ -180,17 +183,24 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stash(signatures(docs, width), "minmax-signatures")
+    bands_too = stash(signatures(docs, width), "minmax-signatures")
+    signed = stash(bands_too.drop("bands"), "minmax-sets")
     able = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     # Exact copies: the smallest id stands for the class.
-    classes = stash(able.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-                    .select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    banded = classes.select("id", "n", F.explode("bands").alias("band"))
+    classes = stash(able.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles")).alias("r"))
+                    .select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n")), "classes")
+    first = bands_too.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "digest"])
+    banded = stash(classes.join(first.select(F.col("doc_id").alias("id"), "digest", "bands"), ["id", "digest"])
+                   .select("id", "n", F.explode("bands").alias("band")), "banded")
+    dropped(bands_too)
     shared = banded.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
-    members = stash(banded.join(shared, "band"), "buckets")
-    mates = stash(members.groupBy("id").agg(F.sum("mates").alias("mates")), "mates")
+    buckets = stash(banded.join(shared, "band"), "buckets")
+    dropped(banded)
+    mates = stash(buckets.groupBy("id").agg(F.sum("mates").alias("mates")), "mates")
     sets = stash(_sets(docs, mates.select("id"), width).groupBy("id").agg(F.min("set").alias("set")), "sets")
-    members = stash(members.drop("mates").join(mates, "id"), "buckets")
+    members = stash(buckets.drop("mates").join(mates, "id"), "buckets")
+    dropped(buckets)
+    dropped(mates)
     # Ids whose rows hold different texts tie the classes of these together.
     twice = able.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).where("k > 1").select("doc_id")
     ties = (able.join(twice, "doc_id").join(classes.select("digest", "id"), "digest").where("doc_id <> id")
@@ -206,11 +216,15 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         return df.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
     # Buckets within one component have nothing left to tell.
-    members = stash(labelled(members.drop("mates"), "id", "component"), "buckets")
-    mixed = members.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    members = stash(members.join(mixed, "band"), "buckets")
+    named = stash(labelled(members.drop("mates"), "id", "component"), "buckets")
+    dropped(members)
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    members = stash(named.join(mixed, "band"), "buckets")
+    dropped(named)
     open_ = stash(_open_pairs(members, labelled(stars.drop("sizes"), "centre", "home"), sets, percent), "pairs")
     found = stash(_overlaps(open_, sets).where(_reaches("near", F.col("na") + F.col("nb"), percent)).select("a", "b"), "links")
+    for done in (members, stars, open_, sets):
+        dropped(done)
     if found.limit(1).count():
         labels = components(links.unionByName(found))
     known = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
