@@ -12,37 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readtrace.llm import curriculum, language, minmax_dedup, templates, weak_rules
-from readtrace.llm.common import fold, prepared, stash, table
+from readtrace.llm.common import fold, prepared, stash, table, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose posterior of being good is at least one half."""
+    """Documents that pass the base rules and whose posterior of being good is at least one half.
+
+    Null and empty texts fail the base rules; equal rows are judged alike.
+    """
     prepared(spark)
     return weak_rules.kept(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the codes tell; the codes are learnt from these documents."""
+    """Documents in a language that the codes tell; the codes are learnt from these documents.
+
+    Texts that are null or have no letter go; rows without a language teach nothing.
+    """
     prepared(spark)
     return language.decided(docs, language.learn(docs, ~fold("doc_id", 4)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8."""
+    """One document of each group linked by five-word shingles at similarity 0.8.
+
+    Texts without words link with nothing. Rows without an id stay; rows that share one are one document.
+    """
     prepared(spark)
-    gone = minmax_dedup.deduplicated(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", minmax_dedup.deduplicated(docs).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, literally or with other values."""
+    """Documents that hold no benchmark item, literally or with other values; rows without an id stay."""
     prepared(spark)
-    held = templates.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", templates.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the curriculum takes, by training position."""
+    """Documents that the curriculum takes, by training position; null sources are one source, texts without words are not taken."""
     prepared(spark)
     plan = curriculum.in_order(curriculum.mixed(docs).where("taken > 0"))
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
