@@ -92,9 +92,13 @@ def add_chunks(df: DataFrame, cuts: Cuts, order: Sequence[str] | None = None, re
     return df.join(F.broadcast(table), _same(cuts.keys), "left").withColumn(CHUNK, chunk).select(*df.columns, CHUNK)
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
-    """Add the chunk number; rows of keys that are not hot get ``WHOLE``."""
-    cuts = cut_points(df, keys, order, target_rows)
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS,
+                measure: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Add the chunk number; rows of keys that are not hot get ``WHOLE``.
+
+    ``measure`` may be a cheaper table with the same keys and order whose counts bound those of ``df``.
+    """
+    cuts = cut_points(df if measure is None else measure, keys, order, target_rows)
     if cuts is None:
         return df.withColumn(CHUNK, F.lit(WHOLE)), False
     return add_chunks(df, cuts), True

@@ -43,6 +43,7 @@ def ordered_scan(
     inputs: Sequence[str] | None = None,
     target_rows: int = TARGET_ROWS,
     transfer: Callable[[], object] | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``step`` over the rows of every key in ``order``.
 
@@ -51,12 +52,12 @@ def ordered_scan(
     columns (default: all columns but the keys).  The result has the key
     columns followed by ``output``.  The state must pickle and stay small.
     ``transfer()`` has ``add(row)`` and ``result()``; the result pickles, and its
-    ``after(state)`` is the state after the chunk.
+    ``after(state)`` is the state after the chunk.  ``measure`` is as in ``OrderedFrame``.
     """
     keys, order = list(keys), list(order)
     inputs = list(inputs) if inputs is not None else [c for c in df.columns if c not in keys]
     needed = list(dict.fromkeys(keys + order + inputs))
-    df, split = with_chunks(df.select(*needed), keys, order, target_rows)
+    df, split = with_chunks(df.select(*needed), keys, order, target_rows, measure)
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + list(output.fields))
 

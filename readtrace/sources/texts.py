@@ -71,7 +71,7 @@ def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later turns as recognised texts, the assistant's as final ones."""
-    return table(spark, sf_dir, "conversations").filter(F.col("turn") > 0).select(
+    return spread(table(spark, sf_dir, "conversations").filter(F.col("turn") > 0)).select(
         F.col("conv_id").alias("sentence_id"), F.col("turn").alias("seq"), "text",
         (F.col("turn") * 500_000_000).alias("ts_ns"), (F.col("role") == "assistant").alias("is_final"))
 

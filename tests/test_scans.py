@@ -3,13 +3,14 @@
 import math
 import pickle
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from readtrace.operators import fixations as fx
 from readtrace.operators import gaze as gz
 from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
-from readtrace.operators.align import align_live, align_lookahead, align_texts, char_masks, common_subsequence
+from readtrace.operators.align import align_live, align_lookahead, align_texts, candidates, char_masks, common_subsequence, required
 
 TARGETS = [10_000_000, 50]
 
@@ -235,6 +236,25 @@ def test_live(spark):
     assert got == [(0, 0, "One", 2_900_000_000), (1, 1, "dog", 3_400_000_000), (2, 3, "by", 3_900_000_000)]
 
 
+def test_candidates_equal_pair_by_pair():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["a" * 300, "a" * 260 + "b", "Mixed", "mixed"]
+    for _ in range(40):
+        tokens, sentence = (rng.choices(words, k=rng.randint(0, 25)) for _ in range(2))
+        tokens = [t.lower() for t in tokens]
+        expected = []
+        for t in tokens:
+            own = []
+            for i, w in enumerate(sentence):
+                low, need = w.lower(), required(min(len(t), len(w)))
+                begins = need < 1 and (low.startswith(t) or t.startswith(low))
+                ratio = SequenceMatcher(None, t, low).ratio()
+                if t == low or begins or need < 1 and ratio >= need:
+                    own.append({"index": i, "word": w, "ratio": ratio})
+            expected.append(own)
+        assert candidates(tokens, sentence) == expected
+
+
 def plain_words(rows):
     buffer, first, back, ikis, before, out, n = [], None, 0, [], None, [], 0
     for r in rows:
