@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from readtrace.catalog import sql
+from readtrace.catalog import eyes, sql
+from readtrace.catalog import words as words_sql
 from readtrace.catalog.common import rounded
 from readtrace.operators import lifecycle as lc
 from readtrace.plans.features import session_features
@@ -159,30 +160,66 @@ def st_first_wins(spark, d):
         "sentence_id", "line_number"), "first"))
 
 
-def _stream_samples(spark, d):
-    return _as_stream(spark, warehouse.samples(spark, d), "samples")
+def _replayed(spark, df, purpose, batches=4):
+    """Rows with an ``event_time`` as a stream of several micro-batches, out of order within and across them.
+
+    A row is up to four minutes late, by a hash of it; a last row far ahead lets the
+    watermark pass all others.
+    """
+    path = scratch_dir(spark, purpose)
+    key = df.columns[0]
+    late = F.unix_micros(scan.EVENT_TIME) + F.pmod(F.xxhash64(*df.columns), F.lit(240_000_000))
+    rows = df.withColumn("_late", late)
+    lo, hi = rows.agg(F.min("_late"), F.max("_late")).first()
+    cuts = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
+    parts = spark.sparkContext.defaultParallelism
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows.where((F.col("_late") >= a) & (F.col("_late") < b)).drop("_late").repartition(parts).write.mode("append").parquet(path)
+    last = df.limit(1).withColumn(scan.EVENT_TIME, F.lit(_FAR).cast("timestamp")).withColumn(key, F.lit(-1).cast(df.schema[key].dataType))
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(path)
+
+
+def _timed(samples):
+    return samples.withColumn(scan.EVENT_TIME, F.timestamp_millis(F.floor(F.col("ts_ns") / 1_000_000)))
 
 
-@query("st_fixation")
+@query("st_fixation", f"{eyes._IDT} SELECT * FROM fixations")
 def st_fixation(spark, d):
-    return rounded(_finish(spark, scan.fixations(_stream_samples(spark, d), max_dispersion=60.0), "fixations"))
+    """Samples out of order over several micro-batches: the fixations of the batch rule."""
+    stream = _replayed(spark, _timed(warehouse.samples(spark, d).select("session_id", "ts_ns", "sample_id", "x", "y", "word_index")), "samples")
+    return rounded(_finish(spark, scan.fixations(stream, max_dispersion=60.0, idle_s=86_400), "fixations"))
+
+
+def _beat(seq):
+    """Tenths of a second of one common clock."""
+    return F.timestamp_millis(F.lit(1_767_225_600_000) + seq * 100)
 
 
 @query("st_align")
 def st_align(spark, d):
+    """Single words in any order of arrival; the state of a sentence goes when it has been idle."""
     words = texts.document_words(spark, d).select("sentence_id", F.col("seq").cast("long").alias("seq"), "word",
                                                   F.lit(None).cast("array<string>").alias("words"))
     heads = texts.document_sentences(spark, d).select("sentence_id", F.lit(-1).cast("long").alias("seq"),
                                                       F.lit(None).cast("string").alias("word"), "words")
-    return rounded(_finish(spark, scan.alignment(_as_stream(spark, words.unionByName(heads), "words")), "aligned"))
+    rows = words.unionByName(heads).withColumn(scan.EVENT_TIME, _beat(F.col("seq")))
+    return rounded(_finish(spark, scan.alignment(_replayed(spark, rows, "words")), "aligned"))
+
+
+@query("st_align_live")
+def st_align_live(spark, d):
+    """Whole texts in any order of arrival, with the block ratio."""
+    heard = texts.conversation_texts(spark, d).withColumn(scan.EVENT_TIME, _beat(F.col("seq")))
+    return rounded(_finish(spark, scan.live_alignment(_replayed(spark, heard, "texts"), texts.conversation_sentences(spark, d)), "aligned-live"))
 
 
-@query("st_lifecycle_stream")
+@query("st_lifecycle_stream", words_sql.SQL["st_lifecycle"])
 def st_lifecycle_stream(spark, d):
     names = [event for _, event, _ in lc.MOVES]
     event = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("k") % len(names) + 1).cast("int"))
-    s = _stream_samples(spark, d).select("session_id", "ts_ns", F.col("sample_id").alias("event_id"), event.alias("event"))
-    return rounded(_finish(spark, scan.lifecycle_history(s), "lifecycle"))
+    rows = _timed(warehouse.samples(spark, d).select("session_id", "ts_ns", F.col("sample_id").alias("event_id"), event.alias("event")))
+    return rounded(_finish(spark, scan.lifecycle_history(_replayed(spark, rows, "events")), "lifecycle"))
 
 
 @query("u_subscribe", "SELECT event_id, value FROM events WHERE event_type = 'error'")

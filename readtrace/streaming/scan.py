@@ -1,78 +1,132 @@
 """The ordered scans of the batch side on a stream.
 
-The same step functions run per key; their small state is kept in the state
-store between micro-batches.  Rows of one key must arrive in order across
-batches; within a batch they are sorted, so a key costs at most its share of
-one micro-batch, which the source limits bound.
+The same step functions run per key.  Rows may arrive out of order, within a micro-batch and
+across several: they wait in a buffer in the state store until the watermark has passed
+their event time, and are then taken in order, so the output equals that of the batch scan
+as long as no row is later than the watermark allows.  Event-time timers release the rows,
+and remove the state of a key that has been idle; a key whose last row has passed leaves
+nothing behind.  Rows of a key that are not yet due are read together: the source limits and the
+watermark's delay bound them.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from readtrace.operators import align, fixations as fx, lifecycle
-
-_STATE = T.StructType([T.StructField("state", T.BinaryType())])
-
-
-def stream_scan(stream: DataFrame, keys: Sequence[str], order: Sequence[str], init, step,
-                output: T.StructType, inputs: Sequence[str]) -> DataFrame:
-    """Streaming form of ``ordered_scan`` (append mode)."""
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from readtrace.operators import align, lifecycle
+from readtrace.operators import fixations as fx
+
+#: Event time of a stream: when the row happened.
+EVENT_TIME = "event_time"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state(spark: SparkSession) -> SparkSession:
+    """Timers and keyed state need the store that keeps them on disk."""
+    spark.conf.set(_PROVIDER, _ROCKS)
+    return spark
+
+
+class OrderedScan(StatefulProcessor):
+    """A step function over the rows of a key in event-time order."""
+
+    def __init__(self, init, step, names: list[str], n_keys: int, n_order: int, idle_ms: int):
+        self.first, self.step, self.names, self.n_keys, self.n_order, self.idle_ms = init, step, names, n_keys, n_order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.out = handle, Row(*self.names)
+        self.waiting = handle.getListState("waiting", "at long, row binary")
+        self.state = handle.getValueState("state", "state binary, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at = self.n_keys  # rows come with their key in front
+        new = [(_millis(r[at]), pickle.dumps(tuple(r[at + 1:]))) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(at for at, _ in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = [(at, bytes(row)) for at, row in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((pickle.loads(row), at) for at, row in held if at <= mark)
+        later = [h for h in held if h[0] > mark]
+        kept = self.state.get() if self.state.exists() else None
+        if due:
+            state = pickle.loads(bytes(kept[0])) if kept else self.first()
+            for row, _ in due:
+                for out in self.step(state, row[self.n_order:]):
+                    yield self.out(*key, *out)
+            last = max(at for _, at in due)
+            if later or last + self.idle_ms > mark:
+                self.state.update((pickle.dumps(state), last))
+                self.handle.registerTimer(last + self.idle_ms)
+            elif kept:
+                self.state.clear()
+        elif kept and not later and kept[1] + self.idle_ms <= mark:
+            self.state.clear()
+        if due and later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(at for at, _ in later))
+        elif due:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at) -> int:
+    return int(at.timestamp() * 1000)
+
+
+def stream_scan(stream: DataFrame, keys: Sequence[str], order: Sequence[str], init, step, output: T.StructType,
+                inputs: Sequence[str], delay: str | None = "10 minutes", idle_s: int = 600) -> DataFrame:
+    """Streaming form of ``ordered_scan`` (append mode).
+
+    ``stream`` has ``event_time``, which never runs against ``order``; rows later than
+    ``delay`` are dropped (None: the stream has its watermark). A key without rows for ``idle_s`` starts anew: make the sentence
+    part of the key where it may pause longer.
+    """
+    with_state(stream.sparkSession)
     keys, order, inputs = list(keys), list(order), list(inputs)
-    columns = list(dict.fromkeys([*keys, *order, *inputs]))
     schema = T.StructType([*[stream.schema[k] for k in keys], *output.fields])
-    whole = {c for c in inputs if isinstance(stream.schema[c].dataType, T.IntegralType)}
-    names = schema.names
-
-    def run(key, batches, state):
-        kept = pickle.loads(bytes(state.get[0])) if state.exists else init()
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        out = []
-        for row in zip(*[_values(rows[c], c in whole) for c in inputs]):
-            out.extend((*key, *o) for o in step(kept, row))
-        state.update((bytearray(pickle.dumps(kept)),))
-        if out:
-            yield pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*out))})
-
-    return stream.select(*columns).groupBy(*keys).applyInPandasWithState(
-        run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _values(column: pd.Series, whole: bool) -> list:
-    """Plain Python values: pandas shows missing integers as NaN floats."""
-    def one(v):
-        if v is None or (isinstance(v, float) and v != v):
-            return None
-        if isinstance(v, np.ndarray):
-            return v.tolist()
-        return int(v) if whole else v
-
-    return [one(v) for v in column.tolist()]
+    # Tie-breakers first, for the sort; then what the step is given.
+    rows = (stream.withWatermark(EVENT_TIME, delay) if delay else stream).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.struct(EVENT_TIME, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"_i{i}") for i, c in enumerate(inputs)]).alias("_r"))
+    rows = rows.select(*rows.columns[:-1], "_r.*")
+    return (rows.groupBy(*rows.columns[:len(keys)])
+            .transformWithState(OrderedScan(init, step, schema.names, len(keys), len(order), idle_s * 1000), schema, "append", "EventTime"))
 
 
 def fixations(samples: DataFrame, method: str = "dispersion", keys: Sequence[str] = ("session_id",),
-              order: Sequence[str] = ("ts_ns", "sample_id"), **options) -> DataFrame:
-    """Fixations as samples arrive, by dispersion or by dwell."""
+              order: Sequence[str] = ("ts_ns", "sample_id"), delay: str = "10 minutes", idle_s: int = 600, **options) -> DataFrame:
+    """Fixations as samples arrive, by dispersion or by dwell; each key (a session, or a sentence of it) starts anew."""
     if method == "dispersion":
-        return stream_scan(samples, keys, order, fx.Idt.start, fx.Idt(**options), fx.IDT,
-                           [order[0], "x", "y", "word_index"])
-    return stream_scan(samples, keys, order, fx.Dwell.start, fx.Dwell(**options), fx.DWELL,
-                       [order[0], "word_index"])
+        return stream_scan(samples, keys, order, fx.Idt.start, fx.Idt(**options), fx.IDT, [order[0], "x", "y", "word_index"], delay, idle_s)
+    return stream_scan(samples, keys, order, fx.Dwell.start, fx.Dwell(**options), fx.DWELL, [order[0], "word_index"], delay, idle_s)
 
 
-def alignment(rows: DataFrame, **options) -> DataFrame:
+def alignment(rows: DataFrame, delay: str = "10 minutes", idle_s: int = 600, **options) -> DataFrame:
     """Lookahead alignment; ``rows`` hold sentence rows (seq -1) and recognised words."""
     return stream_scan(rows, ["sentence_id"], ["seq"], align.Lookahead.start, align.Lookahead(**options),
-                       align.ALIGNED, ["seq", "word", "words"])
+                       align.ALIGNED, ["seq", "word", "words"], delay, idle_s)
+
+
+def live_alignment(texts: DataFrame, sentences: DataFrame, delay: str = "10 minutes", idle_s: int = 600, **options) -> DataFrame:
+    """Alignment of whole recognised texts as they arrive; ``sentences`` is a table."""
+    # The watermark is that of all texts, also of those that meet no sentence.
+    heard = align.heard(texts.withWatermark(EVENT_TIME, delay), sentences, EVENT_TIME, **options)
+    return stream_scan(heard, ["sentence_id"], ["seq", "place"], align.Advance.start, align.Advance(), align.LIVE, align.HEARD, None, idle_s)
 
 
-def lifecycle_history(events: DataFrame) -> DataFrame:
+def lifecycle_history(events: DataFrame, delay: str = "10 minutes", idle_s: int = 86_400) -> DataFrame:
     return stream_scan(events, ["session_id"], ["ts_ns", "event_id"], lifecycle.Lifecycle.start,
-                       lifecycle.Lifecycle(), lifecycle.HISTORY, ["ts_ns", "event"])
+                       lifecycle.Lifecycle(), lifecycle.HISTORY, ["ts_ns", "event"], delay, idle_s)
