@@ -12,7 +12,7 @@ from readtrace.plans.features import session_features
 from readtrace.plans.risk import score_sessions
 from readtrace.session import scratch_dir
 from readtrace.sources import texts, warehouse
-from readtrace.streaming import scan, sessions, slots
+from readtrace.streaming import scan, sessions, slots, timers
 
 QUERIES, SQL = {}, {}
 
@@ -118,17 +118,33 @@ def st_late_drop(spark, d):
     return rounded(got.groupBy("session_id", "sentence_id", "word_index").agg(F.count(F.lit(1)).alias("n_late")))
 
 
-def _urgent(statement):
-    return statement + " WHERE sentence_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+# Records a second after the start, between close and grace, after the grace, and after the timeout.
+_WAITS = ((40, 1.0), (45, 2.5), (48, 10.0), (10_000, 61.0))
+_IN_TIME = _ON_TIME.replace("l.l_orderkey IN", "l.l_quantity <= 48 AND l.l_orderkey IN")
 
 
-@query("st_timeout", _urgent(f"""WITH {_on_time(sql.SLOTS)} SELECT sentence_id, word_index, status, evs_typing_ms FROM slots"""))
+def _timed_rows(spark, d):
+    opens, said, closes = _events(spark, d)
+    wait = F.coalesce(*[F.when(F.col("seq.l_quantity") <= most, F.lit(s)) for most, s in _WAITS])
+    said = said.withColumn("recorded_at", F.col("started_at") + F.make_dt_interval(secs=wait))
+    rows = slots.slot_rows(opens, said, closes)
+    return rows.withColumn(scan.EVENT_TIME, F.coalesce("recorded_at", "closed_at", "started_at"))
+
+
+def _timed_slots(spark, d, purpose):
+    got = _finish(spark, timers.timed_slots(_replayed(spark, _timed_rows(spark, d), purpose)), purpose + "-slots")
+    return got.where(F.col("session_id") >= 0)
+
+
+_TIMED = f"""WITH {sql.SLOTS}""".replace(_KEEP, f"{_KEEP} WHERE {_IN_TIME}").replace(
+    "ORDER BY l_shipdate,", "ORDER BY CASE WHEN l_quantity > 48 THEN 3 WHEN l_quantity > 45 THEN 2 WHEN l_quantity > 40 THEN 1 ELSE 0 END, l_shipdate,")
+
+
+@query("st_timeout", f"{_TIMED} SELECT sentence_id, word_index, status, evs_typing_ms FROM slots")
 def st_timeout(spark, d):
-    """Slots of sentences that never close: their records count until the timeout."""
-    got = slots.closed_slots(_finish(spark, _slot_stream(spark, d), "timeout"))
-    never = warehouse.table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_orderkey").alias("sentence_id"))
-    return rounded(got.join(never, "sentence_id", "left_semi").select("sentence_id", "word_index", "status", "evs_typing_ms"))
+    """Slots ended by timers at the close with its grace, or at the timeout; several micro-batches, out of order."""
+    got = slots.closed_slots(_timed_slots(spark, d, "timeout").where("word_index IS NOT NULL"))
+    return rounded(got.select("sentence_id", "word_index", "status", "evs_typing_ms"))
 
 
 @query("st_session_metrics", f"WITH {_on_time(sql.LONG)} SELECT session_id, risk_score, risk_band FROM scored")
@@ -149,15 +165,16 @@ def st_completion(spark, d):
     return rounded(_finish(spark, slots.completions(_slot_stream(spark, d)), "completions"))
 
 
-@query("st_first_wins", f"""WITH {sql.SENT} SELECT DISTINCT l_orderkey AS sentence_id, l_linenumber AS line_number FROM lineitem""")
+@query("st_first_wins", f"""{_TIMED}, won AS (SELECT sentence_id, word_index, 'gaze' AS event_type, fixation_onset_ns AS ts_ns, seq FROM rec WHERE has_gaze
+  UNION ALL SELECT sentence_id, word_index, 'speech', speech_timestamp_ns, seq FROM rec WHERE has_speech
+  UNION ALL SELECT sentence_id, word_index, 'typing', typing_timestamp_ns, seq FROM rec WHERE has_typing)
+SELECT sentence_id, word_index, event_type, min_by(ts_ns, seq) AS ts_ns FROM won GROUP BY ALL""")
 def st_first_wins(spark, d):
-    """Duplicates of a word dropped within the watermark, without own state."""
-    lines = warehouse.table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("sentence_id"), F.col("l_linenumber").alias("line_number"),
-        F.lit("2026-01-01").cast("timestamp").alias("event_time"))
-    stream = _as_stream(spark, lines, "lines").withWatermark("event_time", "1 hour")
-    return rounded(_finish(spark, stream.dropDuplicatesWithinWatermark(["sentence_id", "line_number"]).select(
-        "sentence_id", "line_number"), "first"))
+    """Which record of a word and kind came first, kept in a map across micro-batches."""
+    got = _timed_slots(spark, d, "first").where("word_index IS NOT NULL")
+    kinds = F.array(*[F.struct(F.lit(p).alias("event_type"), F.col(f"{p}.{at}").alias("ts_ns"))
+                      for p, at in (("gaze", "fixation_onset_ns"), ("speech", "speech_timestamp_ns"), ("typing", "typing_timestamp_ns"))])
+    return rounded(got.select("sentence_id", "word_index", F.inline(kinds)).where("ts_ns IS NOT NULL"))
 
 
 def _replayed(spark, df, purpose, batches=4):

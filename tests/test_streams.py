@@ -1,12 +1,13 @@
 """Streams over several micro-batches, out of order and restarted, against the batch operators."""
 
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from readtrace.operators import align, gaze
-from readtrace.streaming import scan
+from readtrace.streaming import scan, timers
 
 FAR = 1e7
 
@@ -100,3 +101,57 @@ def test_both_aligners_out_of_order_leave_no_state(spark, folder):
     got, _ = run(spark, scan.live_alignment(stream, sentences, delay="3 seconds", idle_s=5), folder, "live")
     assert sorted(got.collect()) == sorted(align.align_live(spark.createDataFrame(texts, schema), sentences).collect()) and got.count()
     assert left_in_state(spark, folder, "live") == [0, 0]
+
+
+def test_slots_end_by_timers(spark, folder):
+    """Close with grace, timeout, records out of order over four micro-batches and a restart; what comes after the end is told."""
+    ids = "session_id long, sentence_id long, sentence_index int"
+    schema = (f"{ids}, word_index int, expected_word string, started_at timestamp, recorded_at timestamp, closed_at timestamp, "
+              "seq struct<n:int>, gaze struct<v:int>, speech struct<v:int>, typing struct<v:int>")
+    day = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    moment = lambda s: day + timedelta(seconds=s)
+    rng, n = random.Random(3), 0
+    events, winners = [], {}
+    for sentence in range(8):
+        start, closes = sentence * 3.0, sentence % 2 == 0
+        key = (1, sentence, sentence)
+        end = start + (2.8 if closes else 60.0)
+        for w in range(3):
+            events.append((start, (*key, w, f"w{w}", moment(start), None, None, None, None, None, None)))
+        if closes:
+            events.append((start + 2, (*key, 0, None, moment(start), None, moment(start + 2), None, None, None, None)))
+        for _ in range(25):
+            n += 1
+            at = start + rng.choice([0.5, 1.0, 1.0, 2.5, 2.8, 2.9, 30.0, 60.0, 61.0])
+            w, kind = rng.randint(0, 3), rng.choice(["gaze", "speech", "typing"])  # word 3 was never opened
+            events.append((at, (*key, w, None, moment(start), moment(at), None, (n,), *[(n,) if kind == k else None for k in ("gaze", "speech", "typing")])))
+            if at <= end and w < 3 and (at, n) < winners.get((sentence, w, kind), (1e9, 0)):
+                winners[sentence, w, kind] = (at, n)
+    path = folder("in")
+
+    def frame(part):
+        df = spark.createDataFrame([r for _, r in part], schema).coalesce(1)
+        return df.withColumn("event_time", F.coalesce("recorded_at", "closed_at", "started_at"))
+
+    def stream():
+        return timers.timed_slots(spark.readStream.schema(frame(events[:1]).schema).option("maxFilesPerTrigger", 1).parquet(path), delay="8 seconds")
+
+    arrived = sorted(events, key=lambda e: e[0] + rng.random() * 6)
+    cut = [len(arrived) * i // 5 for i in range(6)]
+    for a, b in zip(cut[:4], cut[1:5], strict=True):
+        frame(arrived[a:b]).write.mode("append").parquet(path)
+    early, query = run(spark, stream(), folder)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 4 and early.where("word_index IS NOT NULL").count()
+    frame(arrived[cut[4]:]).write.mode("append").parquet(path)
+    frame([(0.0, (-1, -1, -1, 0, "end", moment(10 ** 6), None, None, None, None, None, None))]).write.mode("append").parquet(path)
+    run(spark, stream(), folder)
+    # A record that comes when all has ended opens nothing anew.
+    frame([(0.0, (1, 0, 0, 0, None, moment(0), moment(2e6), None, (0,), (0,), None, None))]).write.mode("append").parquet(path)
+    got, _ = run(spark, stream(), folder)
+    slots = got.where("word_index IS NOT NULL AND session_id = 1").collect()
+    assert sorted((r.sentence_id, r.word_index) for r in slots) == [(s, w) for s in range(8) for w in range(3)]
+    assert {(r.sentence_id, r.word_index, k): r[f"{k}_seq"].n for r in slots for k in ("gaze", "speech", "typing") if r[f"{k}_seq"] is not None
+            } == {key: n for key, (_, n) in winners.items()}
+    assert all(r[k].v == r[f"{k}_seq"].n for r in slots for k in ("gaze", "speech", "typing") if r[k] is not None)
+    assert got.where("late = 1 AND sentence_id = 0").count() >= 1
+    assert [spark.read.format("statestore").option("stateVarName", v).load(folder("q-mark")).count() for v in ("words", "head")] in ([0, 0], [1, 1])
