@@ -248,10 +248,10 @@ def snk_upsert(spark, d):
     """Insert all sessions, then replace whole rows by key."""
     path = scratch_dir(spark, "sessions_table")
     old, closes = _two_states(spark, d)
-    wr.upsert(spark, old, path, ["session_id"])
+    wr.upsert(spark, old, path, ["session_id"], rows_per_bucket=100)
     own = old.select("session_id", "participant_id")
     wr.upsert(spark, closes.join(own, "session_id"), path, ["session_id"])
-    return rounded(spark.read.parquet(path).drop("bucket"))
+    return rounded(spark.read.parquet(path).drop("buckets", "bucket"))
 
 
 @query("snk_session_close", _CLOSED)
@@ -259,10 +259,10 @@ def snk_session_close(spark, d):
     """Fill end, score, band and validity of stored sessions."""
     path = scratch_dir(spark, "sessions_closed")
     old, closes = _two_states(spark, d)
-    wr.upsert(spark, old, path, ["session_id"])
-    stored = spark.read.parquet(path).drop("bucket")
+    wr.upsert(spark, old, path, ["session_id"], rows_per_bucket=100)
+    stored = spark.read.parquet(path).drop("buckets", "bucket")
     wr.upsert(spark, wr.close_rows(stored, closes), path, ["session_id"])
-    return rounded(spark.read.parquet(path).drop("bucket"))
+    return rounded(spark.read.parquet(path).drop("buckets", "bucket"))
 
 
 @query("src_tables", f"WITH {sql.SESSIONS} SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(participant_id AS VARCHAR) AS participant_id, start_epoch_ts, n_sentences FROM sessions")

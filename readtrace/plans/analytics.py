@@ -109,12 +109,19 @@ def participant_stats(ds: DataFrame) -> DataFrame:
     decimals, so their sum is exact and the mean does not depend on the order of rows. One
     row per participant is shuffled, not one per feature.
     """
-    parts = [F.struct(
-        F.lit(f[:3]).alias("feature_id"), F.lit(f).alias("feature"),
-        F.try_divide(F.sum(F.col(f).cast("decimal(28,9)")).cast("double"), F.count(f)).alias("mean"),
-        F.when(F.count(f) > 1, F.round(F.stddev_pop(F.col(f).cast("double")), 9)).otherwise(0.0).alias("std"),
-        F.count(f).alias("n")) for f in FEATURES]
-    return ds.groupBy("participant_id").agg(F.array(*parts).alias("_s")).select("participant_id", F.inline("_s"))
+    return _participant_sums(ds).drop("total")
+
+
+def _participant_sums(ds: DataFrame) -> DataFrame:
+    """``participant_stats`` with the exact sum of each feature."""
+    def part(f: str) -> Column:
+        total = F.sum(F.col(f).cast("decimal(28,9)"))
+        return F.struct(
+            F.lit(f[:3]).alias("feature_id"), F.lit(f).alias("feature"), F.try_divide(total.cast("double"), F.count(f)).alias("mean"),
+            F.when(F.count(f) > 1, F.round(F.stddev_pop(F.col(f).cast("double")), 9)).otherwise(0.0).alias("std"),
+            F.count(f).alias("n"), total.alias("total"))
+
+    return ds.groupBy("participant_id").agg(F.array(*map(part, FEATURES)).alias("_s")).select("participant_id", F.inline("_s"))
 
 
 def group_means(ds: DataFrame) -> DataFrame:
@@ -126,10 +133,9 @@ def group_means(ds: DataFrame) -> DataFrame:
 def deltas(ds: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """Participant mean against the group, with a 5 % dead band."""
     info = feature_table(ds.sparkSession, scoring).select("feature_id", "direction", "threshold")
-    stats = participant_stats(ds)
-    # 17 rows, from the same aggregate, so the sessions are not read again.
-    group = stats.groupBy("feature_id").agg(
-        F.try_divide(F.sum(F.col("mean") * F.col("n")), F.sum("n")).alias("group_mean"))
+    stats = _participant_sums(ds)
+    # 17 rows, from the same aggregate, so the sessions are not read again; exact sums, as the dead band has an edge.
+    group = stats.groupBy("feature_id").agg(F.try_divide(F.sum("total").cast("double"), F.sum("n")).alias("group_mean"))
     joined = stats.join(F.broadcast(group), "feature_id").join(F.broadcast(info), "feature_id")
     delta = F.col("mean") - F.col("group_mean")
     worse = F.when(F.col("direction") == "above", delta > 0).otherwise(delta < 0)

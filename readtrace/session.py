@@ -70,3 +70,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="readtrace-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def emptied(df: DataFrame, path: str) -> None:
+    """Give back the space of a written table that nothing reads any more; an empty table of its schema stays."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)

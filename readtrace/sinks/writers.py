@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readtrace.plans.analytics import parse_vector
 from readtrace.plans.risk import modality_averages
-from readtrace.session import scratch_dir
+from readtrace.session import emptied, scratch_dir
 
 # Sentences per part of a session document; see session_documents.
 PART = 10_000
-BUCKETS = 64
+#: Rows of a bucket of a new upsert table.
+ROWS_PER_BUCKET = 200_000
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -131,29 +133,62 @@ def latest_per_key(rows: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, updates: DataFrame, path: str, key: Sequence[str], seq: str = "seq",
-           buckets: int = BUCKETS) -> None:
+           buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
     """Insert or replace rows by key in a Parquet table of key buckets.
 
-    Only the buckets that receive rows are read and rewritten.  The merged rows
-    are written out before any bucket is replaced, so a lost executor or a
-    restart never reads what it overwrites.  ``seq`` decides which row is newer.
+    A new table has as many buckets as its rows need; the number is part of its folders
+    (``buckets=<n>/bucket=<i>``), so it stays the table's own, and another ``buckets`` is
+    refused (see ``rebucketed``).  The updates are computed once.  Only the buckets that
+    receive rows are read and rewritten, and the merged rows are written out before any
+    bucket is replaced, so a lost executor or a restart never reads what it overwrites.
+    ``seq`` decides which row is newer.
     """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    fresh = updates.withColumn("bucket", bucket)
+    own = bucket_count(spark, path)
+    if own is not None and buckets not in (None, own):
+        raise ValueError(f"the table at {path} has {own} buckets, not {buckets}")
     staged = scratch_dir(spark, "upsert")
-    if _exists(spark, path):
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        fresh = old.unionByName(fresh, allowMissingColumns=True)
-    merged = latest_per_key(fresh, [*key, "bucket"], seq)
-    merged.write.mode("overwrite").parquet(staged)
-    (spark.read.parquet(staged).repartition("bucket")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    fresh = _staged(updates, f"{staged}/updates")
+    count = own or buckets or max(1, -(-fresh.count() // rows_per_bucket))
+    bucket = F.pmod(F.xxhash64(*key), F.lit(count)).cast("int")
+    rows = fresh.withColumn("bucket", bucket)
+    if own is not None:
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most the number of buckets
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("buckets")
+        rows = old.unionByName(rows, allowMissingColumns=True)
+    merged = _staged(latest_per_key(rows, [*key, "bucket"], seq), f"{staged}/merged")
+    _replace(merged, path, count)
+    emptied(fresh, f"{staged}/updates")
+    emptied(merged, f"{staged}/merged")
+
+
+def rebucketed(spark: SparkSession, path: str, to: str, key: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+    """A copy of an upsert table at ``to`` with as many buckets as it needs by now."""
+    rows = spark.read.parquet(path).drop("buckets", "bucket")
+    count = max(1, -(-rows.count() // rows_per_bucket))
+    _replace(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(count)).cast("int")), to, count)
+
+
+def bucket_count(spark: SparkSession, path: str) -> int | None:
+    """Number of buckets of an upsert table, or None where there is no table yet."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    found = [r[0] for r in table.select("buckets").distinct().collect()]  # one, from the folders' names
+    if len(found) != 1:
+        raise ValueError(f"{path} is no upsert table")
+    return found[0]
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _replace(rows: DataFrame, path: str, count: int) -> None:
+    """One file per bucket that has rows; the other buckets stay as they are."""
+    (rows.withColumn("buckets", F.lit(count)).repartition("bucket")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path))
 
 
 def close_rows(sessions: DataFrame, closes: DataFrame) -> DataFrame:

@@ -270,3 +270,28 @@ def test_json_readers_keep_every_document(spark, tmp_path):
         assert read_dataset(spark, str(tmp_path / "dataset" / fmt), fmt).count() == len(ids)
     (tmp_path / "profile.json").write_text('{\n "session_id": "1",\n "rmse": 0.5\n}\n')
     assert read_calibration(spark, str(tmp_path / "profile.json"), multi_line=True).first().rmse == 0.5
+
+
+def test_upsert_rewrites_only_files_with_its_keys(spark, tmp_path):
+    from readtrace.sinks.writers import bucket_count, rebucketed
+    path, schema = str(tmp_path / "table"), "id long, v string, seq long"
+    upsert(spark, spark.range(5000).selectExpr("id", "'old' AS v", "1L AS seq"), path, ["id"], rows_per_bucket=50)
+    assert bucket_count(spark, path) == 100
+
+    def files():
+        return {r.f: r.ids for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.collect_set("id").alias("ids")).collect()}
+
+    before = files()
+    assert len(before) == 100  # a file a bucket
+    upsert(spark, spark.createDataFrame([(i * 7, "new", 2) for i in range(20)] + [(9_999, "more", 2)], schema), path, ["id"])
+    after = files()
+    kept = {f for f in before if f in after}
+    assert 79 <= len(kept) < 100 and not any(set(before[f]) & {i * 7 for i in range(20)} for f in kept)
+    rows = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert len(rows) == 5001 and {i for i, v in rows.items() if v == "new"} == {i * 7 for i in range(20)}
+    with pytest.raises(ValueError, match="100 buckets"):
+        upsert(spark, spark.createDataFrame([(1, "x", 3)], schema), path, ["id"], buckets=8)
+    assert bucket_count(spark, str(tmp_path / "none")) is None
+    rebucketed(spark, path, str(tmp_path / "again"), ["id"], rows_per_bucket=1000)
+    assert bucket_count(spark, str(tmp_path / "again")) == 6
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "again")).collect()) == sorted(rows)
