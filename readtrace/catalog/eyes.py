@@ -11,6 +11,8 @@ from readtrace.functions import landmarks as lm
 from readtrace.functions import temporal as t
 from readtrace.operators import calibration as ca
 from readtrace.operators import gaze as gz
+from readtrace.session import scratch_dir
+from readtrace.sources import readers as rd
 from readtrace.sources import warehouse
 
 QUERIES, SQL = {}, {}
@@ -389,16 +391,56 @@ def agg_calib_mean(spark, d):
     return rounded(ca.point_means(_targets(spark, d)))
 
 
-@query("agg_calib_2d", f"""WITH {_CALIB}, pm AS (SELECT session_id, CAST({_TARGET} AS DOUBLE) AS tx, avg(iris_x) AS x, avg(iris_y) AS y FROM cal GROUP BY session_id, point),
-cen AS (SELECT session_id, avg(tx) AS mt, avg(x) AS mx, avg(y) AS my FROM pm GROUP BY 1),
-s AS (SELECT p.session_id, any_value(mt) AS mt, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy,
-  sum((x - mx) * (tx - mt)) AS sxt, sum((y - my) * (tx - mt)) AS syt FROM pm p JOIN cen c ON c.session_id = p.session_id GROUP BY 1),
-co AS (SELECT *, (syy * sxt - sxy * syt) / (sxx * syy - sxy * sxy) AS a, (sxx * syt - sxy * sxt) / (sxx * syy - sxy * sxy) AS b FROM s)
-SELECT session_id, {r('a', 2)} AS coef_x0, {r('b', 2)} AS coef_x1, {r('mt - a * mx - b * my', 2)} AS intercept_x, 540.0::DOUBLE AS intercept_y,
-0.0::DOUBLE AS rmse, TRUE AS valid, 'ACCEPTED' AS status FROM co""")
+def _grid(spark, d):
+    """Five targets a session: iris positions near an affine image of them, far from one, or all on one line."""
+    n, kind = F.col("frame_id") % 5, F.col("session_id") % 3
+    rows = warehouse.landmarks(spark, d).select("session_id", "frame_id", F.get("landmarks", F.lit(1)).alias("p"))
+    tx = F.element_at(F.array(*[F.lit(v) for v in _GRID_X]), (n + 1).cast("int")) * 1920
+    ty = F.element_at(F.array(*[F.lit(v) for v in _GRID_Y]), (n + 1).cast("int")) * 1080
+    rows = rows.withColumns({"target_x": tx, "target_y": ty})
+    x = F.when(kind == 1, F.col("p.x")).otherwise(F.col("target_x") / 1920 + F.col("p.x") * 0.02)
+    rows = rows.withColumn("iris_x", x)
+    y = F.when(kind == 1, F.col("p.y")).when(kind == 0, F.col("target_y") / 1080 + F.col("p.y") * 0.02).otherwise(2 * F.col("iris_x"))
+    return rows.withColumn("iris_y", y).select("session_id", "frame_id", "iris_x", "iris_y", "target_x", "target_y")
+
+
+_GRID_X, _GRID_Y = (0.1, 0.9, 0.5, 0.1, 0.9), (0.1, 0.1, 0.5, 0.9, 0.9)
+_GRID = f"""g0 AS (SELECT label // 3 AS session_id, vec_id AS frame_id, {list(_GRID_X)}[vec_id % 5 + 1] * 1920 AS tx, {list(_GRID_Y)}[vec_id % 5 + 1] * 1080 AS ty,
+  {_x(1)} AS px, {_y(1)} AS py FROM embeddings),
+g1 AS (SELECT *, CASE WHEN session_id % 3 = 1 THEN px ELSE tx / 1920 + px * 0.02 END AS ix FROM g0),
+grid AS (SELECT *, CASE session_id % 3 WHEN 1 THEN py WHEN 0 THEN ty / 1080 + py * 0.02 ELSE 2 * ix END AS iy FROM g1),
+pm AS (SELECT session_id, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty, avg(ix) AS x, avg(iy) AS y FROM grid GROUP BY ALL),
+s AS (SELECT session_id, avg(x) AS mx, avg(y) AS my, avg(tx) AS mu, avg(ty) AS mv, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy,
+  covar_pop(x, tx) AS xu, covar_pop(y, tx) AS yu, covar_pop(x, ty) AS xv, covar_pop(y, ty) AS yv FROM pm GROUP BY 1 HAVING count(*) >= 2),
+d AS (SELECT *, xx * yy - xy * xy AS det, xx + yy AS tr FROM s),
+co AS (SELECT *, CASE WHEN det > 1e-9 * tr * tr THEN (yy * xu - xy * yu) / det WHEN tr > 0 THEN (xx * xu + xy * yu) / (tr * tr) ELSE 0 END AS a,
+  CASE WHEN det > 1e-9 * tr * tr THEN (xx * yu - xy * xu) / det WHEN tr > 0 THEN (xy * xu + yy * yu) / (tr * tr) ELSE 0 END AS b,
+  CASE WHEN det > 1e-9 * tr * tr THEN (yy * xv - xy * yv) / det WHEN tr > 0 THEN (xx * xv + xy * yv) / (tr * tr) ELSE 0 END AS e,
+  CASE WHEN det > 1e-9 * tr * tr THEN (xx * yv - xy * xv) / det WHEN tr > 0 THEN (xy * xv + yy * yv) / (tr * tr) ELSE 0 END AS f FROM d),
+model AS (SELECT *, mu - a * mx - b * my AS c, mv - e * mx - f * my AS h FROM co),
+er AS (SELECT p.session_id, sqrt(avg(power(a * x + b * y + c - tx, 2) + power(e * x + f * y + h - ty, 2))) AS rmse FROM pm p JOIN model m ON m.session_id = p.session_id GROUP BY 1)"""
+
+
+@query("agg_calib_2d", f"""WITH {_GRID} SELECT m.session_id, {r('a', 3)} AS coef_x0, {r('b', 3)} AS coef_x1, {r('c', 3)} AS intercept_x, {r('e', 3)} AS coef_y0,
+{r('f', 3)} AS coef_y1, {r('h', 3)} AS intercept_y, {r('rmse', 3)} AS rmse, rmse <= 50 AS valid, CASE WHEN rmse <= 50 THEN 'ACCEPTED' ELSE 'REJECTED' END AS status
+FROM model m JOIN er ON er.session_id = m.session_id""")
 def agg_calib_2d(spark, d):
-    got = ca.calibrate_2d(_targets(spark, d))
+    """Accepted, rejected and rank-deficient fits."""
+    got = ca.calibrate_2d(_grid(spark, d))
     return rounded(got.select(
-        "session_id", F.get("model_x_coef", F.lit(0)).alias("coef_x0"), F.get("model_x_coef", F.lit(1)).alias("coef_x1"),
+        "session_id", *[F.get(f"model_{a}_coef", F.lit(i)).alias(f"coef_{a}{i}") for a in "xy" for i in (0, 1)],
         F.col("model_x_intercept").alias("intercept_x"), F.col("model_y_intercept").alias("intercept_y"),
-        "rmse", "valid", "status"), 2)
+        "rmse", "valid", "status"), 3)
+
+
+@query("p_calib_apply", f"""WITH {_GRID} SELECT frame_id, {r('CASE WHEN a IS NOT NULL THEN greatest(0.0, least(1920.0, a * ix + b * iy + c)) END', 3)} AS screen_x,
+{r('CASE WHEN a IS NOT NULL THEN greatest(0.0, least(1080.0, e * ix + f * iy + h)) END', 3)} AS screen_y
+FROM grid g LEFT JOIN model m ON m.session_id = g.session_id AND m.session_id % 7 <> 0""")
+def p_calib_apply(spark, d):
+    """Stored profiles, read back and applied to samples; every seventh session has none."""
+    samples = _grid(spark, d)
+    path = scratch_dir(spark, "profiles")
+    made = ca.calibrate_2d(samples).where("session_id % 7 <> 0")
+    made.drop("points", "status").withColumn("session_id", F.col("session_id").cast("string")).write.json(path)
+    stored = rd.read_calibration(spark, path).withColumn("session_id", F.col("session_id").cast("long"))
+    return rounded(ca.apply_profiles(samples, stored).select("frame_id", "screen_x", "screen_y"), 3)

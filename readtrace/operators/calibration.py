@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readtrace.operators.ordered import TARGET_ROWS
 from readtrace.operators.quantiles import exact_quantiles
@@ -70,47 +67,67 @@ def point_means(samples: DataFrame, keys: Sequence[str] = ("session_id",)) -> Da
         F.count(F.lit(1)).alias("n_samples"))
 
 
-_MODEL = T.StructType([
-    T.StructField("model_x_coef", T.ArrayType(T.DoubleType())),
-    T.StructField("model_x_intercept", T.DoubleType()),
-    T.StructField("model_y_coef", T.ArrayType(T.DoubleType())),
-    T.StructField("model_y_intercept", T.DoubleType()),
-    T.StructField("rmse", T.DoubleType())])
+#: Below this share of the squared spread, the second direction of the iris positions is rounding.
+_FLAT = 1e-9
 
 
-@F.pandas_udf(_MODEL)
-def _fit_affine(iris_x: pd.Series, iris_y: pd.Series, to_x: pd.Series, to_y: pd.Series) -> pd.DataFrame:
-    """Least squares of the screen position on the iris position (smallest norm)."""
-    rows = []
-    for ix, iy, tx, ty in zip(iris_x, iris_y, to_x, to_y):
-        iris, target = np.column_stack([ix, iy]), np.column_stack([tx, ty])
-        coef, *_ = np.linalg.lstsq(iris - iris.mean(0), target - target.mean(0), rcond=None)
-        shift = target.mean(0) - iris.mean(0) @ coef
-        miss = iris @ coef + shift - target
-        rows.append((coef[:, 0].tolist(), float(shift[0]), coef[:, 1].tolist(), float(shift[1]),
-                     float(np.sqrt((miss ** 2).sum(1).mean()))))
-    return pd.DataFrame(rows, columns=_MODEL.names)
+def _solved(b_x: Column, b_y: Column) -> Column:
+    """Coefficients of iris x and y from the sums of products: the least-squares solution, the smallest one if there are many."""
+    xx, xy, yy = F.col("_xx"), F.col("_xy"), F.col("_yy")
+    det, spread = xx * yy - xy * xy, xx + yy
+    # Of a matrix of rank one, the pseudo-inverse is itself over the square of its trace.
+    return (F.when(det > _FLAT * spread * spread, F.array((yy * b_x - xy * b_y) / det, (xx * b_y - xy * b_x) / det))
+            .when(spread > 0, F.array((xx * b_x + xy * b_y) / (spread * spread), (xy * b_x + yy * b_y) / (spread * spread)))
+            .otherwise(F.array(F.lit(0.0), F.lit(0.0))))
 
 
 def calibrate_2d(samples: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Affine model from iris to screen per session, with its error.
 
-    Samples are averaged per target first, so what is collected per session is
-    one row per calibration target, a small number set by the protocol.
-    Sessions with fewer than two targets cannot be fitted and drop out.
+    Samples are averaged per target first.  The fit needs sums of products only, which
+    Spark merges across tasks; the error is taken over the targets, a small number set by
+    the protocol.  Where the iris moved along one line only, or not at all, the model of smallest
+    norm is taken.  Sessions with fewer than two targets cannot be fitted and drop out.
     """
     keys = list(keys)
+    pairs = {"_xx": ("mean_iris_x", "mean_iris_x"), "_xy": ("mean_iris_x", "mean_iris_y"), "_yy": ("mean_iris_y", "mean_iris_y"),
+             "_xu": ("mean_iris_x", "target_x"), "_yu": ("mean_iris_y", "target_x"),
+             "_xv": ("mean_iris_x", "target_y"), "_yv": ("mean_iris_y", "target_y")}
     point = F.struct("target_x", "target_y", "mean_iris_x", "mean_iris_y")
-    sets = (point_means(samples, keys).groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(point)).alias("points"))
-            .filter(F.size("points") >= 2))
+    sums = point_means(samples, keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(point)).alias("points"), F.count(F.lit(1)).alias("_n"),
+        *[F.avg(c).alias(f"_m_{c}") for c in ("mean_iris_x", "mean_iris_y", "target_x", "target_y")],
+        *[F.covar_pop(a, b).alias(name) for name, (a, b) in pairs.items()]).where(F.col("_n") >= 2)
+    fitted = sums.withColumns({"model_x_coef": _solved(F.col("_xu"), F.col("_yu")), "model_y_coef": _solved(F.col("_xv"), F.col("_yv"))})
+    for axis in "xy":
+        coef = F.col(f"model_{axis}_coef")
+        fitted = fitted.withColumn(f"model_{axis}_intercept", F.col(f"_m_target_{axis}") - coef[0] * F.col("_m_mean_iris_x") - coef[1] * F.col("_m_mean_iris_y"))
+    misses = F.transform("points", lambda p: sum(
+        F.pow(_mapped(axis, p["mean_iris_x"], p["mean_iris_y"]) - p[f"target_{axis}"], F.lit(2.0)) for axis in "xy"))
+    fitted = fitted.withColumn("rmse", F.sqrt(F.aggregate(misses, F.lit(0.0), lambda a, v: a + v) / F.col("_n")))
+    return fitted.select(
+        *keys, "points", "model_x_coef", "model_x_intercept", "model_y_coef", "model_y_intercept", "rmse",
+        (F.col("rmse") <= MAX_RMSE_PX).alias("valid"),
+        F.when(F.col("rmse") <= MAX_RMSE_PX, "ACCEPTED").otherwise("REJECTED").alias("status"))
 
-    def column(name: str):
-        return F.transform("points", lambda p: p[name])
 
-    fitted = sets.withColumn("_m", _fit_affine(column("mean_iris_x"), column("mean_iris_y"),
-                                               column("target_x"), column("target_y")))
-    return fitted.select(
-        *keys, "points", "_m.*",
-        (F.col("_m.rmse") <= MAX_RMSE_PX).alias("valid"),
-        F.when(F.col("_m.rmse") <= MAX_RMSE_PX, "ACCEPTED").otherwise("REJECTED").alias("status"))
+def _mapped(axis: str, iris_x: Column, iris_y: Column) -> Column:
+    coef = F.col(f"model_{axis}_coef")
+    return coef[0] * iris_x + coef[1] * iris_y + F.col(f"model_{axis}_intercept")
+
+
+def apply_profiles(samples: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("session_id",), width: float = 1920.0,
+                   height: float = 1080.0) -> DataFrame:
+    """Samples (iris_x, iris_y) with ``screen_x`` and ``screen_y`` by the stored profile of their session, kept on the screen.
+
+    A session without a profile, and a sample without an iris position, has none.
+    """
+    keys = list(keys)
+    models = profiles.select(*keys, *[f"model_{axis}_{part}" for axis in "xy" for part in ("coef", "intercept")])
+
+    def on_screen(axis: str, size: float) -> Column:
+        at = _mapped(axis, F.col("iris_x"), F.col("iris_y"))
+        return F.when(at.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(size), at)))
+
+    return samples.join(models, keys, "left").withColumns(
+        {"screen_x": on_screen("x", width), "screen_y": on_screen("y", height)}).select(*samples.columns, "screen_x", "screen_y")

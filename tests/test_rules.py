@@ -295,3 +295,32 @@ def test_upsert_rewrites_only_files_with_its_keys(spark, tmp_path):
     rebucketed(spark, path, str(tmp_path / "again"), ["id"], rows_per_bucket=1000)
     assert bucket_count(spark, str(tmp_path / "again")) == 6
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "again")).collect()) == sorted(rows)
+
+
+def test_affine_fit_equals_least_squares(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    data, sets = [], {}
+    for session in range(12):
+        targets = rng.random((2 + session % 5, 2)) * 1000
+        iris = rng.random((len(targets), 2))
+        if session % 4 == 1:
+            iris[:, 1] = 3 * iris[:, 0] - 1  # along a line
+        if session % 4 == 2:
+            iris[:] = iris[0]  # does not move
+        sets[session] = (iris, targets)
+        data += [(session, *map(float, i), *map(float, t)) for i, t in zip(iris, targets)]
+    data.append((99, 0.1, 0.2, 3.0, 4.0))  # one target only
+    df = spark.createDataFrame(data, "session_id long, iris_x double, iris_y double, target_x double, target_y double")
+    got = {r.session_id: r for r in ca.calibrate_2d(df).collect()}
+    assert set(got) == set(sets)
+    for session, (iris, targets) in sets.items():
+        coef, *_ = np.linalg.lstsq(iris - iris.mean(0), targets - targets.mean(0), rcond=1e-7)
+        shift = targets.mean(0) - iris.mean(0) @ coef
+        r = got[session]
+        assert np.allclose([r.model_x_coef, r.model_y_coef], coef.T, rtol=1e-5, atol=1e-5)
+        assert np.allclose([r.model_x_intercept, r.model_y_intercept], shift, rtol=1e-5, atol=1e-4)
+        assert r.rmse == pytest.approx(np.sqrt(((iris @ coef + shift - targets) ** 2).sum(1).mean()), abs=1e-4)
+    seen = ca.apply_profiles(df, ca.calibrate_2d(df)).collect()
+    assert len(seen) == len(data) and all((r.screen_x is None) == (r.session_id == 99) for r in seen)
+    assert all(0 <= r.screen_x <= 1920 and 0 <= r.screen_y <= 1080 for r in seen if r.screen_x is not None)
