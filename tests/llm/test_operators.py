@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -52,10 +53,59 @@ def test_repeated_words_and_rules(session):
     assert weak_rules.kept(odd_docs(session)).columns == odd_docs(session).columns
 
 
+def _votes(**bad):
+    return "".join(bad.get(rule, "+") for rule in weak_rules.RULES)
+
+
 def test_em_finds_rare_failures():
-    good, rates = model = weak_rules.fit({"+++++++": 900, "++-++++": 40, "+++-+++": 40, "+++++-+": 20})
-    assert 0.8 < good < 0.95 and weak_rules.posterior("+++++++", model) > 0.9
-    assert weak_rules.posterior("+++--++", model) < 0.5 and (rates[1, :, 0] <= weak_rules.MOST_FALSE).all()
+    pair = {"symbols": "-", "marks": "-"}
+    model = weak_rules.fit({_votes(): 900, _votes(symbols="-"): 10, _votes(**pair): 30, _votes(**pair, letters="-"): 30, _votes(lines="-"): 10})
+    share, _ = model
+    assert 0.8 < share[0] < 0.98 and weak_rules.posterior(_votes(), model) > 0.9
+    assert weak_rules.posterior(_votes(**pair), model) < 0.5
+
+
+def test_em_recovers_known_accuracies():
+    """Votes drawn from known rates, one class good and each kind of bad: the estimates come within 0.02."""
+    rng = np.random.default_rng(5)
+    share, rates = np.array([0.7, 0.09, 0.08, 0.07, 0.06]), weak_rules.start()[1][:, :, 0]
+    rates = np.clip(rates + rng.uniform(-0.03, 0.2, rates.shape) * (rates < 0.5), 0.01, 0.95)
+    kinds = rng.choice(5, 200_000, p=share)
+    cast = np.where(rng.random((200_000, len(weak_rules.RULES))) < rates[kinds], "-", "+")
+    cast[rng.random(cast.shape) < 0.1] = "0"
+    model = weak_rules.fit(Counter(map("".join, cast)))
+    assert np.abs(model[0] - share).max() < 0.02
+    assert np.abs(model[1][0, :, 0] - rates[0]).max() < 0.02
+    overall = np.einsum("c,cr->r", share[1:], rates[1:]) / share[1:].sum()
+    found = np.einsum("c,cr->r", model[0][1:], model[1][1:, :, 0]) / model[0][1:].sum()
+    assert np.abs(found - overall).max() < 0.02
+
+
+def test_one_bad_vote_is_not_a_verdict(session):
+    docs = session.read.parquet(f"{SMALL}/documents.parquet")
+    rows = weak_rules.judged(docs).collect()
+    single = [r for r in rows if r.pattern.count("-") == 1 and not r.base_failed]
+    assert any(r.kept for r in single)
+    assert any(not r.kept and not r.base_failed for r in rows)
+    assert all(r.quality > 0.9 and r.kept for r in rows if "-" not in r.pattern and not r.base_failed)
+
+
+def test_base_measures(session):
+    """The base columns against a plain count over characters, words and lines."""
+    texts = ["a # b", "x\ny\nx\n\n \nx", "\u00c9t\u00e9 *|* \u2003 end\x0b<>", "  ", "", None, "same same\n" * 30]
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in weak_rules.judged(docs).collect():
+        text, seen, dup = texts[r.doc_id] or "", set(), 0
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for line in text.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        covered = {i + k for i in range(len(words) - 7) for k in range(8)
+                   if sum(words[j:j + 8] == words[i:i + 8] for j in range(len(words) - 7)) > 1}
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered))
+        assert want == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
 
 
 def test_language(session):
