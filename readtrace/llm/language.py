@@ -9,7 +9,6 @@ hashed byte trigrams per language, are taken over all learning documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ SLOPE, SHARPNESS = 8.0, 6.0
 #: Below this lead of the nearest over the second codeword a decision is ambiguous.
 LEAD = 0.15
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -42,7 +40,8 @@ def grams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of the Unicode categories L* occurs; numerals such as \u00bd or \u2460 are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -142,7 +141,9 @@ def identified(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col:
 
 def decided(docs: DataFrame, coder: Coder, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents whose language is told, with all their columns: not those that are ``und``,
-    nor those between two codewords with a score below ``least``."""
+    nor those between two codewords with a score below ``least``.
+
+    Null and empty texts and texts without a letter go; repeated rows are told alike, each for itself."""
     shared = docs.sparkSession.sparkContext.broadcast(coder)
 
     def keep():

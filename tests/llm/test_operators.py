@@ -108,6 +108,37 @@ def test_base_measures(session):
         assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
 
 
+def test_letters_and_ties(session):
+    assert [language.has_letter(t) for t in (None, "", "\u00bd \u2460 \u2167 7_", "\u00bd \u00e9", "\u4e2d")] == [False, False, False, True, True]
+    same = [(i, "one two three four", lang, "s") for i, lang in enumerate(["b", "a", "b", "a"])]
+    docs = session.createDataFrame(same, "doc_id long, text string, lang string, lang_pred string")
+    coder = language.learn(docs, F.lit(True))
+    assert {(r.lang_pred, r.ambiguous) for r in language.identified(docs, coder).collect()} == {("a", True)}
+
+
+def test_language_against_plain_counts(session):
+    """Trigram counts, bit weights and the nearest codeword, computed once more without Spark."""
+    docs = session.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", fold("doc_id", 4).alias("held")).collect()
+    counts = defaultdict(lambda: np.full(language.BUCKETS, 0.5))
+    for r in rows:
+        if not r.held and r.lang is not None and language.has_letter(r.text):
+            np.add.at(counts[r.lang], language.grams(r.text), 1)
+    names = sorted(counts)
+    p = np.stack([counts[n] / counts[n].sum() for n in names])
+    code = language.codewords(len(names))
+    weights = np.stack([np.log(p[code[:, b] > 0].mean(0) / p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1)
+    worth = np.clip((p @ weights) * code, 1e-3, None)
+    worth /= worth.sum(1, keepdims=True)
+    got = {r.doc_id: r for r in language.identified(docs, language.learn(docs, ~fold("doc_id", 4))).collect()}
+    for r in rows:
+        want = "und"
+        if language.has_letter(r.text):
+            margin = weights[language.grams(r.text)].mean(0)
+            want = names[int(np.argmin((worth * np.log1p(np.exp(-language.SLOPE * margin * code))).sum(1)))]
+        assert got[r.doc_id].lang_pred == want
+
+
 def test_language(session):
     docs = session.read.parquet(f"{SMALL}/documents.parquet")
     coder = language.learn(docs, ~fold("doc_id", 4))
