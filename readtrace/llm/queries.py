@@ -71,7 +71,7 @@ def op8_toxic_sentences(spark, sf_dir):
     model = toxicity.learn(docs, labels, ~fold("doc_id", 4))
     return toxicity.scored(docs, model).select(
         "doc_id", fold("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
-        F.size("places").alias("n_places"))
+        F.size("places").alias("n_places"), F.to_json("places").alias("places"))
 
 
 @query

@@ -42,19 +42,21 @@ class _Buckets(dict):
         return value
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the sentences that have a word."""
-    return [m.span() for m in _SENTENCE.finditer(text or "") if _WORD.search(m.group())]
+def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words in lower case) of the sentences that have a word; places count in the text as it is."""
+    for m in _SENTENCE.finditer(text or ""):
+        words = _WORD.findall(m.group().lower())
+        if words:
+            yield *m.span(), words
 
 
 def bag(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct features each sentence has, and their buckets."""
     sizes, found = [], []
-    for m in _SENTENCE.finditer((text or "").lower()):
-        features = {b for w in _WORD.findall(m.group()) for b in buckets[w]}
-        if features:
-            sizes.append(len(features))
-            found += sorted(features)
+    for *_, words in sentences(text):
+        features = {b for w in words for b in buckets[w]}
+        sizes.append(len(features))
+        found += sorted(features)
     return np.array(sizes, np.int32), np.array(found, np.int32)
 
 
@@ -74,10 +76,7 @@ class Bags:
     def sentence_scores(self, text: str | None) -> np.ndarray:
         """One probability per sentence, each feature counted once."""
         out = []
-        for m in _SENTENCE.finditer((text or "").lower()):
-            words = _WORD.findall(m.group())
-            if not words:
-                continue
+        for *_, words in sentences(text):
             features: set[int] = set()
             for w in words:
                 hit = self.known.get(w)
@@ -188,7 +187,7 @@ _PLACES = T.ArrayType(struct(("start", LONG), ("end", LONG), ("score", DOUBLE),
 
 def scored(docs: DataFrame, model: Bags, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
            places: bool = True) -> DataFrame:
-    """Toxicity of every whole text, and the sentences at or above the threshold with their places.
+    """Toxicity of every whole text, and the sentences at or above the threshold with their places in it.
 
     Null texts and texts without a word have no sentence and score 0. Equal texts score
     alike; an empty table gives an empty result.
@@ -204,9 +203,9 @@ def scored(docs: DataFrame, model: Bags, threshold: float = 0.3, id_col: str = "
                 p = m.sentence_scores(text)
                 scores.append(m.document_score(p))
                 hit = np.flatnonzero(p >= threshold) if places else ()
-                spans = sentences(text.lower()) if len(hit) else ()
+                spans = [(a, b) for a, b, _ in sentences(text)] if len(hit) else ()
                 found.append([{"start": spans[i][0], "end": spans[i][1], "score": float(p[i]),
-                               "sentence": text.lower()[slice(*spans[i])]} for i in hit])
+                               "sentence": text[slice(*spans[i])]} for i in hit])
             yield batch["doc_id"], scores, found
 
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

@@ -289,6 +289,35 @@ def test_toxic_places(session):
         assert [p.sentence for p in r.places] == ([rows[r.doc_id][1].split(".")[3]] if r.doc_id % 5 == 0 else [])
 
 
+def test_toxic_places_in_the_original(session):
+    """Characters whose lower case is longer do not move the places."""
+    weights = np.zeros(toxicity.BUCKETS)
+    weights[list(toxicity._Buckets()["vile"])] = 5.0
+    model = toxicity.Bags(weights, -5.0, (0.0, 1.0))
+    texts = ["\u0130\u0130\u0130\u0130 here. A VILE word", "\u0130. \u00bd 7. Vile!\nnone", "fine. here"]
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(p.start, p.end, p.sentence) for p in r.places] for r in toxicity.scored(docs, model).collect()}
+    assert got == {0: [(10, 22, " A VILE word")], 1: [(7, 12, " Vile")], 2: []}
+
+
+def test_noisy_or_against_plain_sums(session):
+    """Scores of a fitted model: sums over the features of each sentence, then noisy-or."""
+    docs, labels = (session.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels, ~fold("doc_id", 4))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.scored(docs, model).collect():
+        clean, n = 1.0, 0
+        for part in re.split(r"[.!?\n]", texts[r.doc_id] or ""):
+            words = re.findall(r"[^\W\d_]+", part.lower())
+            features = {b for w in words for b in toxicity._Buckets()[w]}
+            if words:
+                n += 1
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights[b] for b in features)))
+        odds = math.log(max(1 - clean, 1e-12) / max(clean, 1e-300)) if n else 0
+        want = 1 / (1 + math.exp(-model.gain[0] - model.gain[1] * max(-20, min(20, odds)))) if n else 0.0
+        assert abs(r.score - want) < 1e-6
+
+
 def test_chain_marginals():
     """Forward-backward against the sum over all labellings."""
     rng = np.random.default_rng(0)
