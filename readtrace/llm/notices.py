@@ -34,6 +34,14 @@ NOTICES = (
     ("gnu lesser general public license", "lgpl", 3),
     ("mozilla public license version 2", "mpl-2", 3),
     ("redistribution and use in source and binary forms with or without modification", "bsd", 7),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc", 7),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    ("licensed under the eclipse public license", "epl", 4),
+    ("licensed under the zlib license", "zlib", 3),
+    ("creative commons attribution sharealike", "cc-by-sa", 4),
+    ("licensed under cc by sa 4 0", "cc-by-sa", 2),
+    ("spdx license identifier mit", "mit", 2),
+    ("spdx license identifier apache 2 0", "apache-2", 2),
     ("all rights reserved", "proprietary", 1),
 )
 

@@ -81,7 +81,7 @@ def op9_template_decontamination(spark, sf_dir):
 
 @query
 def op10_license_notices(spark, sf_dir):
-    return notices.scanned(table(spark, sf_dir, "documents")).drop("spans")
+    return notices.scanned(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 @query

@@ -396,6 +396,37 @@ def test_notices(session):
     many = notices.Scanner().scan(" ".join([near, "and"] * 3000))
     assert len(many[7]) == 3000 and many[1] == 0
     assert notices.scanned(odd_docs(session)).count() == len(ODD) + 3
+    assert notices.scanned(odd_docs(session, [])).count() == 0
+
+
+def test_base_phrases_against_plain_search(session):
+    rng = random.Random(8)
+    pool = "under the mit license apache version 2 cc by nc x".split()
+    texts = [rng.choice([" ", "-", "\n"]).join(rng.choice([w, w.upper()]) for w in rng.choices(pool, k=rng.randint(0, 80))) for _ in range(60)]
+    texts += ["cc by nc cc by nc", "under the mit license under the mit license", None, "", "\u00e9cc by nc"]
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in notices.scanned(docs).collect():
+        words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r.doc_id] or "").encode().lower())]
+        places = [(i, label) for phrase, label in notices.PHRASES.items() for i in range(len(words))
+                  if words[i:i + len(phrase.split())] == phrase.split()]
+        at, labels = [i for i, _ in places], {label for _, label in places}
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(at), ",".join(sorted(labels)))
+        assert (r.first_word, r.last_word) == ((min(at), max(at)) if at else (None, None))
+        assert labels <= set(r.labels.split(",")) | {""}
+
+
+def test_seeds_lose_no_edited_notice():
+    """An unseeded search of every pattern finds no label that the scan misses."""
+    rng, scanner = random.Random(4), notices.Scanner()
+    for n, label, k, pattern in scanner.notices:
+        for _ in range(12):
+            text = list(n)
+            for _ in range(rng.randint(0, k)):
+                at = rng.randrange(len(text))
+                text[at:at + 1] = rng.choice([[], [rng.choice("abcxyz")], [text[at], "q"]])
+            line = " ".join(f"see {''.join(text)} here".split())
+            if any(m.end() == len(line) or line[m.end()] == " " for m in pattern.finditer(line)):
+                assert scanner.scan(line)[7], line
 
 
 def test_language_model(session):
