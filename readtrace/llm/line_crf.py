@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column, label: str = "qu
             found = [lines_of(t) for t in batch["text"]]
             yield batch["doc_id"], batch["y"], [f[0].tobytes() for f in found], [f[1].tobytes() for f in found]
 
-    schema = struct(("doc_id", LONG), ("y", LONG), ("rows", BYTES), ("sizes", BYTES))
+    schema = struct(("doc_id", rows.schema["doc_id"].dataType), ("y", LONG), ("rows", BYTES), ("sizes", BYTES))
     # Bounded by SAMPLE; in the order of the ids, so that reruns add up alike.
     got = sorted(map_rows(rows.withColumn("y", F.col("y").cast("long")), features, schema).toLocalIterator(), key=lambda r: (r.doc_id, r.rows))
     texts = [(np.frombuffer(r.rows, np.int16).reshape(-1, len(BINS)), np.frombuffer(r.sizes, np.int32)) for r in got]

@@ -137,9 +137,9 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
 
 def _centres(members: DataFrame) -> DataFrame:
     """(id, centre): of the best connected member of each of a document's buckets, the most frequent."""
-    best = members.groupBy("band").agg(F.max(F.struct("mates", -F.col("id"))).alias("p")).select("band", (-F.col("p.col2")).alias("centre"))
+    best = members.groupBy("band").agg(F.min(F.struct((-F.col("mates")).alias("rank"), "id")).alias("p")).select("band", F.col("p.id").alias("centre"))
     votes = members.select("band", "id").join(best, "band").groupBy("id", "centre").agg(F.count("*").alias("k"))
-    return votes.groupBy("id").agg(F.max(F.struct("k", -F.col("centre"))).alias("c")).select("id", (-F.col("c.col2")).alias("centre"))
+    return votes.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("rank"), "centre")).alias("c")).select("id", F.col("c.centre"))
 
 
 def _open_pairs(members: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +180,7 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     have no shingle and link with nothing; a null id links with nothing, is kept and has no component.
     Rows that share an id are one document: each has its own n_shingles, their links unite,
     and where their texts differ the smallest set by value is the one that is compared.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Ids may be of any type that has an order.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bands_too = stash(signatures(docs, width), "minmax-signatures")

@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column, label: str = "to
             bags = [bag(t, buckets) for t in batch["text"]]
             yield batch["doc_id"], batch["y"], [b[0].tobytes() for b in bags], [b[1].tobytes() for b in bags]
 
-    schema = struct(("doc_id", LONG), ("y", LONG), ("sizes", BYTES), ("found", BYTES))
+    schema = struct(("doc_id", rows.schema["doc_id"].dataType), ("y", LONG), ("sizes", BYTES), ("found", BYTES))
     # Bounded by SAMPLE; in the order of the ids, so that reruns add up alike.
     got = sorted(map_rows(rows.withColumn("y", F.col("y").cast("long")), features, schema).toLocalIterator(), key=lambda r: (r.doc_id, r.found))
     y = np.array([r.y for r in got], float)

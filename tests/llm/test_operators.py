@@ -240,6 +240,17 @@ def brute_components(texts, width, percent):
     return {i: root(i) for i in texts}
 
 
+def test_text_ids(session):
+    """Ids that are no numbers, in the operators that order or learn by them."""
+    docs, labels = (session.read.parquet(f"{SMALL}/{t}.parquet").withColumn("doc_id", F.format_string("d%06d", "doc_id")) for t in ("documents", "labels"))
+    got = {r.doc_id: r.component_id for r in minmax_dedup.deduplicated(docs).collect()}
+    plain = session.read.parquet(f"{SMALL}/documents.parquet")
+    assert got == {f"d{r.doc_id:06d}": f"d{r.component_id:06d}" for r in minmax_dedup.deduplicated(plain).collect()}
+    for operator in (line_crf, toxicity):
+        model = operator.learn(docs, labels, ~fold("doc_id", 4))
+        assert operator.scored(docs, model).where("score BETWEEN 0 AND 1").count() == docs.count()
+
+
 def test_near_duplicates(session):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
