@@ -21,6 +21,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +154,22 @@ def _settle(df, keys, order, inputs, init, step) -> DataFrame:
     return spark.createDataFrame([(*a, bytearray(s)) for a, s in starts.items()], seed_schema)
 
 
+def values(column: pa.Array | pa.ChunkedArray) -> list:
+    """As ``to_pylist``, but numbers and texts are converted at once, and nothing is done for nulls."""
+    kind = column.type
+    if pa.types.is_string(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        if isinstance(column, pa.ChunkedArray):
+            return column.to_numpy().tolist()
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not column.null_count:
+        return column.to_pylist()
+    out: list = [None] * len(column)
+    for i, v in zip(np.flatnonzero(column.is_valid().to_numpy(**({} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}))).tolist(),
+                    column.drop_null().to_pylist(), strict=True):
+        out[i] = v
+    return out
+
+
 def _runner(keys, inputs, init, step, schema: T.StructType, chunked: bool, emit_end: bool = False):
     arrow = to_arrow_schema(schema)
     group = list(keys) + ([CHUNK] if chunked else [])
@@ -164,8 +181,8 @@ def _runner(keys, inputs, init, step, schema: T.StructType, chunked: bool, emit_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            groups = zip(*[batch.column(c).to_pylist() for c in group])
-            rows = zip(*[batch.column(c).to_pylist() for c in inputs])
+            groups = zip(*[values(batch.column(c)) for c in group])
+            rows = zip(*[values(batch.column(c)) for c in inputs])
             seeds = batch.column(SEED).to_pylist() if chunked else None
             out: list[tuple] = []
             for i, (at, row) in enumerate(zip(groups, rows)):

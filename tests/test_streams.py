@@ -6,8 +6,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from readtrace.catalog import streams
 from readtrace.operators import align, gaze
-from readtrace.streaming import scan, timers
+from readtrace.streaming import packed, scan, slots, timers
 
 FAR = 1e7
 
@@ -155,3 +156,54 @@ def test_slots_end_by_timers(spark, folder):
     assert all(r[k].v == r[f"{k}_seq"].n for r in slots for k in ("gaze", "speech", "typing") if r[k] is not None)
     assert got.where("late = 1 AND sentence_id = 0").count() >= 1
     assert [spark.read.format("statestore").option("stateVarName", v).load(folder("q-mark")).count() for v in ("words", "head")] in ([0, 0], [1, 1])
+
+
+def test_packs_hold_every_row_of_their_bucket(spark):
+    rows = spark.range(0, 5000, 1, 3).selectExpr("id % 2500 AS k", "timestamp_millis(id) AS event_time", "CAST(id AS string) AS text")
+    got = packed.packed(rows, ["k"], "event_time").collect()
+    assert max(r.bucket for r in got) < packed.BUCKETS and len(got) <= 3 * packed.BUCKETS < 5000
+    tables = [packed.loaded(bytes(r.rows)) for r in got]
+    assert sorted(t for table in tables for t in table.column("text").to_pylist()) == sorted(map(str, range(5000)))
+    buckets = {}
+    for r, table in zip(got, tables, strict=True):
+        times = packed.micros(table, 1)
+        assert r["first"] == times.min() // 1000 and round(r.event_time.timestamp() * 1e6) == times.max()
+        for k in table.column("k").to_pylist():
+            assert buckets.setdefault(k, r.bucket) == r.bucket
+    table, rest, begins = packed.split(bytes(got[0].rows), 1, got[0]["first"])
+    assert table.num_rows + (packed.loaded(rest).num_rows if rest else 0) == tables[0].num_rows and (begins or FAR) > got[0]["first"]
+
+
+def test_state_of_many_sentences_is_kept_by_bucket(spark, folder):
+    """A state entry, a call and a timer per sentence made the streams slow."""
+    n, path = 3000, folder("many")
+    schema = "sentence_id long, seq long, word string, words array<string>"
+    timed(spark, [(10.0 + i, s, i, None if i < 0 else "dog", ["dog"] if i < 0 else None) for s in range(n) for i in (-1, 0)], schema).write.parquet(path)
+
+    def stream():
+        return scan.alignment(spark.readStream.schema(timed(spark, [(0.0, 0, 0, "", [""])], schema).schema).parquet(path), delay="3 seconds", idle_s=5)
+
+    run(spark, stream(), folder)
+    assert 0 < left_in_state(spark, folder)[0] <= packed.BUCKETS < n
+    timed(spark, [(FAR, -1, 0, "end", None)], schema).write.mode("append").parquet(path)
+    got, _ = run(spark, stream(), folder)
+    assert sorted(r.sentence_id for r in got.collect()) == list(range(n)) and left_in_state(spark, folder) == [1, 0]
+
+
+def test_slot_stream_over_slices_in_time_order(spark, folder, monkeypatch):
+    """Large inputs come in several micro-batches, so that open words stay few; the slots are those of one table."""
+    monkeypatch.setattr(streams, "_BATCH_ROWS", 40)
+    monkeypatch.setattr(streams, "scratch_dir", lambda spark, purpose: folder(purpose))
+    schema = ("session_id long, sentence_id long, sentence_index int, word_index int, expected_word string, started_at timestamp, recorded_at timestamp, "
+              "closed_at timestamp, seq struct<n:int>, gaze struct<v:int>, speech struct<v:int>, typing struct<v:int>")
+    day = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for s in range(60):
+        start = day + timedelta(hours=s // 2)
+        rows.append((1, s, s, 0, "w", start, None, None, None, None, None, None))
+        rows += [(1, s, s, 0, None, start, start + timedelta(seconds=k), None, (k,), (k,), None, None) for k in (1, 2)]
+    table = spark.createDataFrame(rows, schema)
+    got, query = run(spark, slots.slot_stream(streams._with_end(spark, table, "rows")), folder)
+    assert len([p for p in query.recentProgress if p.numInputRows]) >= 4
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(got.where("sentence_id >= 0").collect()) == sorted(slots.slot_stream(table).collect()) and got.count() == 60
