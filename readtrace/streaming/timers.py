@@ -1,7 +1,8 @@
 """Slots of a sentence that end by its own timers.
 
-The state of a sentence is one map entry per word, which holds the first record of each
-kind across micro-batches, whatever order they arrive in.  An event-time timer stands at the
+The state of a sentence holds the first record of each kind per word across micro-batches,
+whatever order they arrive in; sentences are kept in buckets, as a call per sentence would
+cost more than its rows.  An event-time timer stands at the
 deadline: the timeout after the start, or the close plus the grace for late speech once the
 close is known.  When the watermark passes it, the slots are given out at once, without
 waiting for the longest possible deadline; the sentence is then remembered as done, without
@@ -11,21 +12,23 @@ its words, until the timeout, so that what still arrives for it is told as late
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from readtrace.operators.scan import values
+from readtrace.streaming.packed import loaded, packed
 from readtrace.streaming.scan import EVENT_TIME, with_state
 from readtrace.streaming.slots import GRACE_S, KEY, PAYLOADS, TIMEOUT_S
 
-_HEAD = "started long, closed long, done boolean, late long"
-
-
 class SentenceSlots(StatefulProcessor):
-    """First record of each kind per word, until the deadline of the sentence. Times are microseconds."""
+    """First record of each kind per word, until the deadline of the sentence. Times are microseconds.
+
+    Called for a bucket of sentences at a time (see ``packed``), whose state is read and written as a whole.
+    """
 
     def __init__(self, columns: list[str], names: list[str], grace_s: float, timeout_s: float):
         self.columns, self.names = columns, names
@@ -33,75 +36,91 @@ class SentenceSlots(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.out = handle, Row(*self.names)
-        self.head = handle.getValueState("head", _HEAD)
-        self.words = handle.getMapState("words", "word_index int", "held binary")
+        # By sentence: (started, closed, done, late), and its words with what each holds.
+        self.head = handle.getValueState("head", "sentences binary")
+        self.words = handle.getValueState("words", "sentences binary")
+        self.passed: dict[int, int] = {}
 
     def _deadline(self, started: int, closed: int | None) -> int:
         return started + self.timeout if closed is None else min(started + self.timeout, closed + self.grace)
 
-    def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(micros // 1000 + 1)  # a record of the very deadline still counts
+    def _wake(self, heads: Iterable[tuple]) -> None:
+        """At the next end of a sentence, or of what is remembered of it; a record of the very deadline still counts."""
+        ends = [started + self.timeout + self.grace if done else self._deadline(started, closed) for started, closed, done, _ in heads]
+        if ends:
+            self.handle.registerTimer(min(ends) // 1000 + 1)
+
+    def _load(self) -> tuple[dict, dict]:
+        return tuple(pickle.loads(bytes(v.get()[0])) if v.exists() else {} for v in (self.head, self.words))
+
+    def _save(self, heads: dict, words: dict) -> None:
+        for variable, held in ((self.head, heads), (self.words, words)):
+            if held:
+                variable.update((pickle.dumps(held),))
+            elif variable.exists():
+                variable.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        head = tuple(self.head.get()) if self.head.exists() else None
-        changed: dict[int, dict] = {}
-        late = 0
-        for row in rows:
-            r = dict(zip(self.columns, row, strict=True))
-            started = r["started_us"]
-            if head is None:
-                if started + self.timeout + self.grace < mark:
-                    late += r["recorded_us"] is not None  # ended and forgotten
+        heads, words = self._load()
+        touched: set[tuple] = set()
+        late: dict[tuple, int] = {}
+        for pack in rows:
+            table = loaded(bytes(pack["rows"]))
+            for row in zip(*[values(table.column(c)) for c in self.columns], strict=True):
+                r = dict(zip(self.columns, row, strict=True))
+                at, head = row[:3], heads.get(row[:3])
+                started = r["started_us"]
+                if head is None:
+                    if started + self.timeout + self.grace < mark:
+                        if r["recorded_us"] is not None:
+                            late[at] = late.get(at, 0) + 1  # ended and forgotten
+                        continue
+                    head = heads[at] = (started, None, False, 0)
+                    touched.add(at)
+                if r["closed_us"] is not None and (head[1] is None or r["closed_us"] < head[1]):
+                    head = heads[at] = (head[0], r["closed_us"], *head[2:])
+                    touched.add(at)
+                if head[2]:
+                    if r["recorded_us"] is not None:
+                        late[at] = late.get(at, 0) + 1
+                        heads[at] = (*head[:3], head[3] + 1)
+                    continue
+                if r["expected_word"] is None and r["recorded_us"] is None:
                     continue
-                head = (started, None, False, 0)
-                self._wake(self._deadline(started, None))
-                self._wake(started + self.timeout + self.grace)
-            if r["closed_us"] is not None and (head[1] is None or r["closed_us"] < head[1]):
-                head = (head[0], r["closed_us"], *head[2:])
-                if not head[2]:
-                    self._wake(self._deadline(head[0], head[1]))
-            if head[2]:
-                late += r["recorded_us"] is not None
-                continue
-            w = r["word_index"]
-            if r["expected_word"] is None and r["recorded_us"] is None:
-                continue
-            if w not in changed:
-                changed[w] = pickle.loads(bytes(self.words.getValue((w,))[0])) if self.words.containsKey((w,)) else {"word": None}
-            held = changed[w]
-            held["word"] = r["expected_word"] if held["word"] is None else held["word"]
-            for p in PAYLOADS:
-                if r[p] is not None:
-                    at = (r["recorded_us"], tuple(r["seq"].values()))
-                    if p not in held or at < held[p][0]:
-                        held[p] = (at, r[p], r["seq"])
-        for w, held in changed.items():
-            self.words.updateValue((w,), (pickle.dumps(held),))
-        if head is not None:
-            self.head.update((*head[:3], head[3] + late))
-        if late:
-            yield self._row(key, late=late)
+                held = words.setdefault(at, {}).setdefault(r["word_index"], {"word": None})
+                held["word"] = r["expected_word"] if held["word"] is None else held["word"]
+                for p in PAYLOADS:
+                    if r[p] is not None:
+                        when = (r["recorded_us"], tuple(r["seq"].values()))
+                        if p not in held or when < held[p][0]:
+                            held[p] = (when, r[p], r["seq"])
+        self._save(heads, words)
+        self._wake([heads[at] for at in touched])
+        for at, n in late.items():
+            yield self._row(at, late=n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.head.exists():
-            return
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        started, closed, done, late = self.head.get()
-        until = self._deadline(started, closed)
-        if not done and until < mark:
-            for (w,), (data,) in list(self.words.iterator()):
-                held = pickle.loads(bytes(data))
-                if held["word"] is not None:  # never opened: not active
-                    first = {p: held[p] for p in PAYLOADS if p in held and held[p][0][0] <= until}
-                    yield self._row(key, word_index=w, started_us=started, expected_word=held["word"],
-                                    **{p: value for p, (_, value, _) in first.items()},
-                                    **{f"{p}_seq": seq for p, (_, _, seq) in first.items()})
-            self.words.clear()
-            self.head.update((started, closed, True, late))
-        if started + self.timeout + self.grace < mark:
-            self.words.clear()
-            self.head.clear()
+        if self.passed.get(key[0]) == mark:  # several timers of the bucket ended at once
+            return
+        self.passed[key[0]] = mark
+        heads, words = self._load()
+        for at, (started, closed, done, late) in list(heads.items()):
+            until = self._deadline(started, closed)
+            if not done and until < mark:
+                for w, held in words.pop(at, {}).items():
+                    if held["word"] is not None:  # never opened: not active
+                        first = {p: held[p] for p in PAYLOADS if p in held and held[p][0][0] <= until}
+                        yield self._row(at, word_index=w, started_us=started, expected_word=held["word"],
+                                        **{p: value for p, (_, value, _) in first.items()},
+                                        **{f"{p}_seq": seq for p, (_, _, seq) in first.items()})
+                heads[at] = (started, closed, True, late)
+            if started + self.timeout + self.grace < mark:
+                words.pop(at, None)
+                del heads[at]
+        self._save(heads, words)
+        self._wake(heads.values())
 
     def _row(self, key, **values) -> Row:
         values |= dict(zip(KEY[:3], key, strict=True))
@@ -127,4 +146,4 @@ def timed_slots(rows: DataFrame, delay: str = "10 minutes", grace_s: float = GRA
         *[rows.schema[k] for k in KEY[:3]], T.StructField("word_index", T.IntegerType()), T.StructField("started_us", T.LongType()),
         T.StructField("expected_word", T.StringType()), *[T.StructField(p, rows.schema[p].dataType) for p in PAYLOADS],
         *[T.StructField(f"{p}_seq", seq) for p in PAYLOADS], T.StructField("late", T.LongType())])
-    return used.groupBy(*KEY[:3]).transformWithState(SentenceSlots(used.columns, schema.names, grace_s, timeout_s), schema, "append", "EventTime")
+    return packed(used, KEY[:3], EVENT_TIME).groupBy("bucket").transformWithState(SentenceSlots([c for c in used.columns if c != EVENT_TIME], schema.names, grace_s, timeout_s), schema, "append", "EventTime")
