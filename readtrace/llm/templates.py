@@ -32,6 +32,8 @@ RUN = (13, 26)
 NEAR = 4
 #: Bits of the map of benchmark windows that documents are held against before the join.
 MAP_BITS = 1 << 26
+#: Characters of texts whose words are held at a time, and words whose ids a worker remembers.
+CHARS, _REMEMBERED = 1_000_000, 200_000
 
 UNITS = frozenset((
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days",
@@ -59,7 +61,7 @@ class _Ids(dict):
         low = word.lower()
         kind = 1 if word[0].isdigit() else 2 * (low in UNITS) + 4 * (low != word and word[0].isupper())
         value = xxhash.xxh3_64_intdigest(low) & ~7 | kind
-        if len(self) < 500_000:
+        if len(self) < _REMEMBERED:
             self[word] = value
         return value
 
@@ -124,6 +126,19 @@ def _alone(text: str) -> np.ndarray:
     return (np.cumsum(counts) - counts)[counts == 1]
 
 
+def _pieces(keys: list, texts: list) -> Iterator[tuple[list, list]]:
+    """Keys and texts in turn, ``CHARS`` characters at a time or one text that has more."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > start and held + size > CHARS:
+            yield keys[start:i], texts[start:i]
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield keys[start:], texts[start:]
+
+
 def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, held) -> DataFrame:
     """(key, family, hash, at, literal, slots) of windows; sizes None: each text's own, at most WINDOW.
 
@@ -135,8 +150,7 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, held) -> Data
     def run(batches: Iterator[dict]) -> Iterator[tuple]:
         ids = _Ids()
         bits = None if held is None else np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            keys, texts = batch[key], batch["text"]
+        for keys, texts in (piece for batch in batches for piece in _pieces(batch[key], batch["text"])):
             t = Template(texts, ids)
             own = np.minimum(WINDOW, t.counts)
             # Of items, those without a name have no second family.

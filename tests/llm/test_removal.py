@@ -24,3 +24,12 @@ def test_dropped_stash_is_empty(spark):
     folder = df.inputFiles()[0].rpartition("/")[0]
     dropped(df)
     assert spark.read.schema("v long").parquet(folder).count() == 0
+
+
+def test_windows_take_texts_in_pieces():
+    from readtrace.llm import templates
+    texts = ["a" * 400_000, None, "", "b" * 700_000, "c" * 5_000_000, "d", "e" * 999_999]
+    pieces = list(templates._pieces(list(range(7)), texts))
+    assert [i for keys, _ in pieces for i in keys] == list(range(7)) and [t for _, held in pieces for t in held] == texts
+    assert all(len(held) == 1 or sum(len(t or "") for t in held) <= templates.CHARS for _, held in pieces) and len(pieces) == 4
+    assert list(templates._pieces([], [])) == []
