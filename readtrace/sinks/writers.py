@@ -16,6 +16,8 @@ from readtrace.session import emptied, scratch_dir
 PART = 10_000
 #: Rows of a bucket of a new upsert table.
 ROWS_PER_BUCKET = 200_000
+#: Buckets that a table may have for its fewer rows a bucket; each is a folder that takes as long to write and list as a large one.
+MAX_BUCKETS = 1024
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -138,7 +140,8 @@ def upsert(spark: SparkSession, updates: DataFrame, path: str, key: Sequence[str
 
     A new table has as many buckets as its rows need; the number is part of its folders
     (``buckets=<n>/bucket=<i>``), so it stays the table's own, and another ``buckets`` is
-    refused (see ``rebucketed``).  The updates are computed once.  Only the buckets that
+    refused (see ``rebucketed``).  Above ``MAX_BUCKETS``, buckets grow to ``ROWS_PER_BUCKET``
+    rows before there are more of them.  The updates are computed once.  Only the buckets that
     receive rows are read and rewritten, and the merged rows are written out before any
     bucket is replaced, so a lost executor or a restart never reads what it overwrites.
     ``seq`` decides which row is newer.
@@ -148,7 +151,7 @@ def upsert(spark: SparkSession, updates: DataFrame, path: str, key: Sequence[str
         raise ValueError(f"the table at {path} has {own} buckets, not {buckets}")
     staged = scratch_dir(spark, "upsert")
     fresh = _staged(updates, f"{staged}/updates")
-    count = own or buckets or max(1, -(-fresh.count() // rows_per_bucket))
+    count = own or buckets or _buckets_for(fresh.count(), rows_per_bucket)
     bucket = F.pmod(F.xxhash64(*key), F.lit(count)).cast("int")
     rows = fresh.withColumn("bucket", bucket)
     if own is not None:
@@ -163,8 +166,13 @@ def upsert(spark: SparkSession, updates: DataFrame, path: str, key: Sequence[str
 
 def rebucketed(spark: SparkSession, path: str, to: str, key: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
     """A copy of an upsert table at ``to`` with as many buckets as it needs by now."""
+def _buckets_for(rows: int, rows_per_bucket: int) -> int:
+    needed = -(-rows // rows_per_bucket)
+    return max(1, min(needed, max(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET))))
+
+
     rows = spark.read.parquet(path).drop("buckets", "bucket")
-    count = max(1, -(-rows.count() // rows_per_bucket))
+    count = _buckets_for(rows.count(), rows_per_bucket)
     _replace(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(count)).cast("int")), to, count)
 
 
