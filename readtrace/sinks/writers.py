@@ -62,10 +62,13 @@ def write_feature_vectors(risk_scores: DataFrame, path: str) -> None:
 
 
 def write_dataset(ds: DataFrame, path: str) -> None:
-    """The dataset as JSON lines and as CSV, below ``path``."""
-    ordered = ds.orderBy("participant_id", "start_epoch_ts", "session_id")
+    """The dataset as JSON lines and as CSV, below ``path``; it is computed once, for both and for the ranges of the sort."""
+    held = scratch_dir(ds.sparkSession, "dataset-rows")
+    rows = _staged(ds, held)
+    ordered = rows.orderBy("participant_id", "start_epoch_ts", "session_id")
     ordered.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
     _csv(ordered, f"{path}/csv")
+    emptied(rows, held)
 
 
 def write_comparison(wide: DataFrame, path: str) -> None:

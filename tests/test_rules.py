@@ -297,6 +297,42 @@ def test_upsert_rewrites_only_files_with_its_keys(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "again")).collect()) == sorted(rows)
 
 
+def test_upsert_bounds_its_folders():
+    from readtrace.sinks.writers import _buckets_for
+    assert [_buckets_for(n, 100) for n in (0, 250, 90_000, 900_000)] == [1, 3, 900, 1024]
+    assert _buckets_for(1_000_000_000, 100) == _buckets_for(1_000_000_000, 200_000) == 5000
+
+
+def counted(spark, df, column):
+    """The rows, and how often one was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(count, df.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_dataset_is_computed_once_for_both_formats(spark, tmp_path):
+    rows = [tuple(f"s{i}" if f.name == "session_id" else None for f in sc.DATASET.fields) for i in range(6)]
+    ds, seen = counted(spark, spark.createDataFrame(rows, sc.DATASET).repartition(3), "session_id")
+    write_dataset(ds, str(tmp_path / "dataset"))
+    assert seen.value == 6
+    for fmt in ("json", "csv"):
+        assert [r.session_id for r in read_dataset(spark, str(tmp_path / "dataset" / fmt), fmt).orderBy("session_id").collect()] == [f"s{i}" for i in range(6)]
+
+
+def test_documents_compute_scored_rows_once(spark):
+    read = spark.createDataFrame([(s, 10 * s + i, i, ["word0"]) for s in (1, 2) for i in range(4)], SENTENCE)
+    events = spark.createDataFrame([r for s in (1, 2) for i in range(4) for r in full_sentence(1, sentence_id=10 * s + i)], EVENT)
+    metrics = sentence_metrics(close_slots(word_slots(read, events)))
+    scored, seen = counted(spark, score_sessions(session_features(metrics)), "session_id")
+    sessions = spark.createDataFrame([(1, 1), (2, 1)], "session_id long, participant_id long")
+    docs = session_documents(scored, metrics, sessions, F.current_timestamp()).collect()
+    assert sorted((d.session_id, len(d.per_sentence)) for d in docs) == [("1", 4), ("2", 4)] and seen.value == 2
+
+
 def test_affine_fit_equals_least_squares(spark):
     import numpy as np
     rng = np.random.default_rng(4)
