@@ -16,7 +16,7 @@ from readtrace.operators.lifecycle import sentence_durations
 from readtrace.operators.slots import flat_slots
 from readtrace.plans.analytics import parse_vector
 from readtrace.plans.risk import risk_rows
-from readtrace.plans.session_chain import from_warehouse
+from readtrace.plans.session_chain import from_warehouse, metrics_once
 from readtrace.schema import DATASET, FEATURES, INTEGER_FEATURES, SESSIONS, STORED_TABLES, VECTOR
 from readtrace.session import scratch_dir
 from readtrace.sinks import writers as wr
@@ -143,7 +143,7 @@ def src_dataset(spark, d):
 
 
 def _documents(spark, d):
-    c = from_warehouse(spark, d)
+    c = metrics_once(from_warehouse(spark, d))
     return wr.session_documents(c.scored, c.metrics, warehouse.sessions(spark, d), F.current_timestamp())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readtrace.plans.analytics import parse_vector
-from readtrace.plans.risk import modality_averages
+from readtrace.plans.risk import modality_means
 from readtrace.session import emptied, scratch_dir
 
 # Sentences per part of a session document; see session_documents.
@@ -90,8 +90,7 @@ def session_documents(scored: DataFrame, metrics: DataFrame, sessions: DataFrame
         F.coalesce("mean_evs_speech_ms", zero).alias("audio_conf"))
     parts = metrics.groupBy("session_id", F.floor(F.col("sentence_index") / part_size).cast("int").alias("part")).agg(
         F.sort_array(F.collect_list(sentence)).alias("_sentences"))
-    head = (scored.select("session_id", "risk_band", "risk_score")
-            .join(modality_averages(scored), "session_id")
+    head = (scored.select("session_id", "risk_band", "risk_score", *modality_means())
             .join(sessions.select("session_id", "participant_id"), "session_id"))
     return head.join(parts, "session_id").select(
         F.col("session_id").cast("string").alias("session_id"),
