@@ -14,6 +14,7 @@ from readtrace.operators import keys as ke
 from readtrace.operators import lifecycle as lc
 from readtrace.operators.align import (
     Lookahead, align_live, align_lookahead, align_texts, candidates, char_masks, common_subsequence, read_text, required)
+from readtrace.session import tune
 
 TARGETS = [10_000_000, 50]
 
@@ -269,6 +270,7 @@ def test_candidates_are_found_in_bounded_memory(spark):
     tracemalloc.stop()
     assert found[7][0]["index"] == 11 and peak < 60e6
     # A batch of wide rows is bounded in bytes, not only in rows.
+    tune(spark)  # the corpus tests leave settings of their own
     size = F.pandas_udf(lambda x: x.str.len() * 0 + len(x), "long")
     wide = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("x"))
     assert wide.select(size("x").alias("n")).agg(F.max("n")).first()[0] < 1000
