@@ -29,6 +29,13 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode(split_words(F.col("text"))).alias("seq", "word"))
 
 
+def some_words(spark: SparkSession, sf_dir: str, most: int = 5_000) -> tuple[DataFrame, int]:
+    """The words of about so many documents, to measure by, and how many documents each stands for."""
+    documents = table(spark, sf_dir, "documents")
+    share = max(1, documents.count() // most)
+    return document_words(spark, sf_dir).where(F.pmod(F.xxhash64("sentence_id"), F.lit(share)) == 0), share
+
+
 def document_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document with the words said and the words to read in one row."""
     items = table(spark, sf_dir, "benchmark")

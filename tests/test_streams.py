@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,42 @@ def test_packs_hold_every_row_of_their_bucket(spark):
     assert table.num_rows + (packed.loaded(rest).num_rows if rest else 0) == tables[0].num_rows and (begins or FAR) > got[0]["first"]
 
 
+def test_packs_are_small(spark):
+    """Waiting words took 10 bytes each besides their letters, twice on disk."""
+    n = 20_000
+    words = spark.range(0, n, 1, 1).selectExpr("id % 4 AS k", "timestamp_millis(1767225600000 + 100 * id) AS event_time", "id AS seq", "'dog' AS word",
+                                               "CAST(NULL AS array<string>) AS words")
+    packs = [bytes(r.rows) for r in packed.packed(words, ["k"], "event_time").collect()]
+    assert sum(map(len, packs)) < 3 * n
+    assert sorted(r for p in packs for r in packed.loaded(p).column("seq").to_pylist()) == list(range(n))
+    assert all(packed.loaded(p).column("words").null_count == packed.loaded(p).num_rows for p in packs)
+
+
+def test_word_rows_match_as_one_by_one():
+    rng = random.Random(9)
+    letters = [*"abcdefé", "", "İ", "'"]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))
+    step = align.Lookahead()
+    for _ in range(200):
+        rows = [(i, word(), [word() for _ in range(rng.randint(0, 9))] if rng.random() < 0.05 else None) for i in range(60)]
+        one, many = step.start(), step.start()
+        assert list(step.rows(many, rows)) == [out for row in rows for out in step(one, row)] and one == many
+
+
+def test_slices_are_read_in_order_and_given_back(spark, folder, monkeypatch):
+    """Every row came out of a range exchange and a second one by slice; slices stayed until the end."""
+    monkeypatch.setattr(streams, "_BATCH_ROWS", 100)
+    rows = spark.range(0, 1000, 1, 5).selectExpr("id % 7 AS k", "id AS n", "timestamp_millis(id * 1000) AS event_time")
+    end = lambda row: row.withColumn("k", F.lit(-1).cast("long"))
+    stream = streams._sliced(spark, rows, F.unix_micros("event_time"), folder("in"), end, 2)
+    seen = []
+    (stream.writeStream.foreachBatch(lambda batch, _: seen.append([r.n for r in batch.where("k >= 0").collect()]))
+     .option("checkpointLocation", folder("mark")).trigger(availableNow=True).start().awaitTermination())
+    assert len(seen) == 11 and sorted(n for part in seen for n in part) == list(range(1000))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]) if b)
+    assert not list((Path(folder("in")) / "_slice=0").glob("*.parquet"))
+
+
 def test_state_of_many_sentences_is_kept_by_bucket(spark, folder):
     """A state entry, a call and a timer per sentence made the streams slow."""
     n, path = 3000, folder("many")
