@@ -159,6 +159,75 @@ def test_slots_end_by_timers(spark, folder):
     assert [spark.read.format("statestore").option("stateVarName", v).load(folder("q-mark")).count() for v in ("words", "head")] in ([0, 0], [1, 1])
 
 
+def test_timed_slots_are_given_out_in_packs(spark):
+    """A row of state, of output and of Python objects per record made the queries slow; ties go to the least seq, whatever the order."""
+    import pyarrow as pa
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def appendValue(self, value):
+            self.value = [*(self.value or []), value]
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers = []
+        getValueState = getListState = lambda self, name, schema: self.__dict__.setdefault(name, Held())
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    seq = pa.struct([("day", pa.date32()), ("n", pa.int64())])
+    kinds = {"session_id": pa.int64(), "sentence_id": pa.int64(), "sentence_index": pa.int32(), "event_time": pa.timestamp("us", "UTC"),
+             "word_index": pa.int32(), "expected_word": pa.string(), "seq": seq, "gaze": pa.struct([("v", pa.int32())]), "speech": pa.struct([("v", pa.int32())]),
+             "typing": pa.struct([("v", pa.int32())]), "started_us": pa.int64(), "recorded_us": pa.int64(), "closed_us": pa.int64()}
+
+    def pack(rows):
+        return {"rows": packed.dumped(pa.table([pa.array([r.get(c) for r in rows], kind) for c, kind in kinds.items()], names=list(kinds)))}
+
+    def row(session, **values):
+        return {"session_id": session, "sentence_id": 1, "sentence_index": 0, "event_time": 0, "started_us": 0, "word_index": 0, **values}
+
+    names = ["session_id", "sentence_id", "sentence_index", "word_index", "started_us", "expected_word", *(p + s for s in ("", "_seq") for p in slots.PAYLOADS), "late"]
+    processor, handle = timers.SentenceSlots(names, 0.8, 60.0), Handle()
+    processor.init(handle)
+    said = [row(s, recorded_us=1_000_000, seq={"day": None if n == 1 else 5, "n": n}, gaze={"v": n}) for s in (7, None) for n in (3, 1, 2)]
+    opens = [row(s, expected_word="a") for s in (7, None, 8)] + [row(8, word_index=1, recorded_us=61_000_000, seq={"day": 1, "n": 0}, typing={"v": 0})]
+    list(processor.handleInputRows((3,), [pack(said), pack(opens)], Clock(0)))
+    list(processor.handleInputRows((3,), [pack([row(7, closed_us=2_000_000)])], Clock(0)))
+    assert handle.timers[-1] == 2801
+    first = [packed.loaded(r.rows).to_pylist() for r in processor.handleExpiredTimer((3,), Clock(2802), None)]
+    assert [(r["session_id"], r["gaze"]["v"], r["gaze_seq"]["n"], r["typing"]) for r in first[0]] == [(7, 1, 1, None)] and len(first) == 1
+    late = [packed.loaded(r.rows).to_pylist() for r in processor.handleInputRows((3,), [pack(said)], Clock(2802))]
+    assert [(r["session_id"], r["late"], r["word_index"]) for r in late[0]] == [(7, 3, None)]
+    rest = [r for p in processor.handleExpiredTimer((3,), Clock(70_000), None) for r in packed.loaded(p.rows).to_pylist()]
+    assert sorted((str(r["session_id"]), r["gaze"] and r["gaze"]["v"]) for r in rest) == [("8", None), ("None", 1)]
+    assert handle.head.value is None and not handle.words.value
+    gone = [packed.loaded(r.rows).to_pylist() for r in processor.handleInputRows((3,), [pack(said)], Clock(70_000))]
+    assert sorted((str(r["session_id"]), r["late"]) for r in gone[0]) == [("7", 3), ("None", 3)] and handle.head.value is None
+
+
 def test_packs_hold_every_row_of_their_bucket(spark):
     rows = spark.range(0, 5000, 1, 3).selectExpr("id % 2500 AS k", "timestamp_millis(id) AS event_time", "CAST(id AS string) AS text")
     got = packed.packed(rows, ["k"], "event_time").collect()
